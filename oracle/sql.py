@@ -1,8 +1,8 @@
 """DuckDB SQL for every named query that SQL can express.
 
 Written the plain way (dense joins, windows over dense rows), independent of how the Spark
-side computes the same tables. Doubles are rounded half up as decimals to six digits, which
-is how Spark's ``round`` treats them.
+side computes the same tables. Doubles are rounded half up to six digits in their shortest
+decimal form, which is how Spark's ``round`` treats them.
 """
 
 from __future__ import annotations
@@ -170,7 +170,8 @@ def _with(select: str, *tables: str) -> str:
 
 
 def _r(expression: str, name: str | None = None) -> str:
-    return f"CAST(round(CAST({expression} AS DECIMAL(30, 10)), 6) AS DOUBLE) AS {name or expression}"
+    text = f"CAST({expression} AS VARCHAR)"
+    return f"CAST(round(CAST({text} AS DECIMAL(38, 18)), 6) AS DOUBLE) AS {name or expression}"
 
 
 def _describe(column: str, table: str) -> str:
