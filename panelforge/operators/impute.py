@@ -27,19 +27,28 @@ def fit_price_model(price: DataFrame, items: DataFrame) -> PipelineModel:
     """A forest on all priced rows; every split looks at all features.
 
     Spark ML has no extremely randomized trees. Trees differ by resampling the rows here,
-    so predictions are close in kind but not equal. The rows are written out first because
-    training reads them several times.
+    so predictions are close in kind but not equal. The month is no feature, so the priced
+    months of a pair are one training row: their mean, weighted by their number. The rows
+    are written out because training reads them several times.
     """
-    rows = materialize(_with_features(price, items).select(*FEATURES, "item_price"), "priced")
+    pairs = price.groupBy(*PAIR).agg(
+        F.avg("item_price").alias("item_price"),
+        F.count(F.lit(1)).cast("double").alias("_weight"),
+    )
+    rows = materialize(
+        _with_features(pairs, items).select(*FEATURES, "item_price", "_weight"), "priced"
+    )
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="skip")
     forest = RandomForestRegressor(
         featuresCol="_features",
         labelCol="item_price",
         predictionCol="_prediction",
+        weightCol="_weight",
         bootstrap=True,
         featureSubsetStrategy="all",
         maxBins=MAX_BINS,
         maxMemoryInMB=1024,
+        cacheNodeIds=True,
         **FOREST,
     )
     return Pipeline(stages=[assembler, forest]).fit(rows)

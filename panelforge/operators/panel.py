@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,14 @@ class Targets:
     pairs: DataFrame
     shops: DataFrame
     items: DataFrame
-    n_shops: int
-    n_items: int
+
+    @cached_property
+    def n_items(self) -> int:
+        return self.items.count()
+
+    @cached_property
+    def n_shops(self) -> int:
+        return self.shops.count()
 
     def n_cells(self, n_blocks: int) -> int:
         return n_blocks * self.n_shops * self.n_items
@@ -56,7 +63,7 @@ def load_targets(pairs: DataFrame) -> Targets:
     stored = materialize(pairs, "targets")
     shops = materialize(stored.select("shop_id").distinct(), "shops")
     items = materialize(stored.select("item_id").distinct(), "items")
-    return Targets(stored, shops, items, shops.count(), items.count())
+    return Targets(stored, shops, items)
 
 
 def monthly_cells(
@@ -146,6 +153,11 @@ class Panel:
     def count(self, block: Column) -> Column:
         return clip(self.raw_count(block), self.bounds)
 
+    def months(self) -> Column:
+        """Clipped sales of all months as one array."""
+        blocks = F.sequence(F.lit(0), F.lit(self.n_blocks - 1))
+        return F.transform(blocks, self.count)
+
     def order(self, block: Column) -> Column:
         """Sales rows of a month; an empty cell counts as one row of zero sales."""
         return F.coalesce(

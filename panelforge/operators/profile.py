@@ -40,8 +40,6 @@ def describe_counts(counts: DataFrame, **limits: int) -> DataFrame:
         .agg(F.sum("n").alias("rows"), (F.sum(weighted) / F.sum("n")).alias("mean"))
         .collect()
     }
-    if not overview:
-        return stored.groupBy("column").agg(*_summary({}, {}))
     return (
         running_total(stored, ["column", "value"], F.col("n"), "_before", **limits)
         .groupBy("column")

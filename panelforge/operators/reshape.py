@@ -20,8 +20,8 @@ def pivot_sum(
 
 def pivot_monthly(panel: Panel) -> DataFrame:
     """One row per pair, one column per month; read off the series, no shuffle of its own."""
-    months = [panel.count(F.lit(m)).alias(str(m)) for m in range(panel.n_blocks)]
-    return panel.series.select(*PAIR, *months)
+    months = [F.get("_months", F.lit(m)).alias(str(m)) for m in range(panel.n_blocks)]
+    return panel.series.withColumn("_months", panel.months()).select(*PAIR, *months)
 
 
 def unpivot_monthly(wide: DataFrame, n_blocks: int) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import count, takewhile
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -21,8 +20,10 @@ from panelforge.operators.panel import BLOCK, PAIR, Panel, Targets, with_blocks
 
 # The weights of one running sum must stay within doubles: q^-t below about e^600.
 MAX_EXPONENT = 600.0
+# Below e^-746 a double is zero.
+MIN_EXPONENT = 746.0
 # Pairs per slice of the pair order.
-MAX_SLICE = 4096
+MAX_SLICE = 1024
 
 
 def decay(span: float) -> float:
@@ -125,28 +126,25 @@ class PairOrder:
         )
 
 
-def _carried(placed_cells: DataFrame, q: float, length: int) -> DataFrame:
+def _carried(placed_cells: DataFrame, q: float, length: int, n_slices: int) -> DataFrame:
     """Per slice: by month, the decayed sum of everything in earlier slices.
 
     A slice's total is sent on to every following slice where its weight is above zero in
-    double precision, which for short spans is the next one or two. Only non-empty cells
-    add to a total.
+    double precision, which for short spans is the next few. Only non-empty cells add to a
+    total.
     """
     to_end = F.pow(F.lit(q), F.lit(length - 1) - F.col("_off"))
     totals = placed_cells.groupBy("_slice", BLOCK).agg(
         F.sum(F.col("item_cnt") * to_end).alias("_total")
     )
-    weights = takewhile(lambda w: w > 0.0, (q ** (length * k) for k in count()))
-    ahead = F.array(
-        *[
-            F.struct(F.lit(k).alias("slices"), F.lit(w).alias("weight"))
-            for k, w in enumerate(weights, start=1)
-        ]
-    )
+    reach = math.ceil(MIN_EXPONENT / (length * -math.log(q)))
+    following = F.least(F.lit(reach).cast("long"), F.lit(n_slices - 1) - F.col("_slice"))
+    weight = F.pow(F.lit(q), F.lit(length) * (F.col("_ahead") - 1))
     sums = (
-        totals.withColumn("_to", F.explode(ahead))
-        .groupBy((F.col("_slice") + F.col("_to.slices")).alias("_slice"), BLOCK)
-        .agg(F.sum(F.col("_total") * F.col("_to.weight")).alias("_sum"))
+        totals.where(F.col("_slice") < n_slices - 1)
+        .withColumn("_ahead", F.explode(F.sequence(F.lit(1).cast("long"), following)))
+        .groupBy((F.col("_slice") + F.col("_ahead")).alias("_slice"), BLOCK)
+        .agg(F.sum(F.col("_total") * weight).alias("_sum"))
     )
     return sums.groupBy("_slice").agg(
         F.map_from_entries(F.collect_list(F.struct(BLOCK, "_sum"))).alias("_carried")
@@ -171,25 +169,28 @@ def trend_pair_signal(
     """
     q = decay(signal_span)
     length = min(max_slice, _longest(q))
+
+    def power(exponent: Column) -> Column:
+        return F.pow(F.lit(q), exponent)
+
     order = PairOrder.of(targets, **limits)
-    carried = _carried(order.place(panel.clipped_cells(), length), q, length)
+    n_slices = math.ceil(targets.n_shops * targets.n_items / length)
+    carried = _carried(order.place(panel.clipped_cells(), length), q, length, n_slices)
+    bottom = (F.lit(1.0) - power(F.col("_pos") + 1)) / (1.0 - q)
     sliced = (
         order.place(panel.series, length)
         .repartition("_slice")
         .join(carried, "_slice", "left")
+        # Weights of the pair, worked out before the months unfold.
+        .withColumn("_grow", power(-F.col("_off")))
+        .withColumn("_shrink", power(F.col("_off")) / bottom)
     )
     earlier = F.coalesce(F.try_element_at("_carried", F.col(BLOCK)), F.lit(0.0))
     down = _so_far("_slice", BLOCK, order="_off")
-
-    def power(exponent: Column) -> Column:
-        return F.pow(F.lit(q), exponent)
-
-    own = F.sum(F.col("_x") * power(-F.col("_off"))).over(down) * power(F.col("_off"))
-    before = F.col("_earlier") * power(F.col("_off") + 1)
-    bottom = (F.lit(1.0) - power(F.col("_pos") + 1)) / (1.0 - q)
+    own = F.sum(F.col("_x") * F.col("_grow")).over(down)
     df = _dense(
-        sliced, panel, "_slice", "_off", "_pos", earlier.alias("_earlier")
-    ).withColumn("_y", (own + before) / bottom)
+        sliced, panel, "_slice", "_off", "_grow", "_shrink", earlier.alias("_earlier")
+    ).withColumn("_y", (own + F.col("_earlier") * F.lit(q)) * F.col("_shrink"))
 
     # Clustered by slice already, so this window moves no rows either.
     months = _so_far("_slice", *PAIR, order=BLOCK)

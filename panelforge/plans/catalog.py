@@ -41,9 +41,8 @@ def _panel(spark: SparkSession, folder: str, targets: Targets, measures=COUNTS)
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
-    return encode.encode_items(
-        source.read_items(spark, folder), source.read_item_cats(spark, folder)
-    )
+    item_cats = source.read_item_cats(spark, folder)
+    return encode.encode_items(source.read_items(spark, folder, item_cats), item_cats)
 
 
 def _price(spark: SparkSession, folder: str, targets: Targets) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators.encode import with_label_code
@@ -21,6 +21,20 @@ FORECAST_DAY = date(2001, 11, 1)
 FORECAST_BLOCK = 82
 NEW_SIZE = 50
 REPORT_STEP = 1e9
+SCHEMAS = {
+    "lineitem": (
+        "l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+        "l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "supplier": "s_suppkey BIGINT, s_nationkey INT",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+}
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _lines(spark: SparkSession, folder: str, forecast: bool) -> DataFrame:
@@ -29,12 +43,12 @@ def _lines(spark: SparkSession, folder: str, forecast: bool) -> DataFrame:
     A returned line counts negative. The day is compared as stored, so the filter reaches
     the Parquet scan.
     """
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    lines = _table(spark, folder, "lineitem")
     cut = F.lit(FORECAST_DAY)
     lines = lines.where(
         F.col("l_shipdate") >= cut if forecast else F.col("l_shipdate") < cut
     )
-    suppliers = spark.read.parquet(f"{folder}/supplier.parquet")
+    suppliers = _table(spark, folder, "supplier")
     shops = suppliers.select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("shop_id")
     )
@@ -56,7 +70,7 @@ def _lines(spark: SparkSession, folder: str, forecast: bool) -> DataFrame:
 
 
 def _new_items(spark: SparkSession, folder: str) -> DataFrame:
-    parts = spark.read.parquet(f"{folder}/part.parquet")
+    parts = _table(spark, folder, "part")
     return parts.where(F.col("p_size") == NEW_SIZE).select(F.col("p_partkey").alias("item_id"))
 
 
@@ -103,29 +117,32 @@ def read_targets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _named_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts with a category named by type and brand and numbered in name order."""
-    named = spark.read.parquet(f"{folder}/part.parquet").select(
-        F.col("p_partkey").alias("item_id"),
-        F.col("p_name").alias("item_name"),
-        F.concat_ws(" ", "p_type", "p_brand").alias("item_category_name"),
-    )
-    coded = with_label_code(named, F.col("item_category_name"), "item_category_id")
+def read_item_cats(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories named by type and brand, numbered in name order."""
+    names = _table(spark, folder, "part").select(_category_name()).distinct()
+    coded = with_label_code(names, F.col("item_category_name"), "item_category_id")
     return coded.withColumn("item_category_id", F.col("item_category_id").cast("long"))
 
 
-def read_items(spark: SparkSession, folder: str) -> DataFrame:
-    return _named_parts(spark, folder).select("item_name", "item_id", "item_category_id")
+def read_items(
+    spark: SparkSession, folder: str, item_cats: DataFrame | None = None
+) -> DataFrame:
+    item_cats = read_item_cats(spark, folder) if item_cats is None else item_cats
+    parts = _table(spark, folder, "part").select(
+        F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name"), _category_name()
+    )
+    return parts.join(item_cats, "item_category_name").select(
+        "item_name", "item_id", "item_category_id"
+    )
 
 
-def read_item_cats(spark: SparkSession, folder: str) -> DataFrame:
-    parts = _named_parts(spark, folder)
-    return parts.select("item_category_name", "item_category_id").distinct()
+def _category_name() -> Column:
+    return F.concat_ws(" ", "p_type", "p_brand").alias("item_category_name")
 
 
 def read_shops(spark: SparkSession, folder: str) -> DataFrame:
-    nations = spark.read.parquet(f"{folder}/nation.parquet")
-    regions = spark.read.parquet(f"{folder}/region.parquet")
+    nations = _table(spark, folder, "nation")
+    regions = _table(spark, folder, "region")
     return nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat(F.lit("!"), "r_name", F.lit(" "), "n_name").alias("shop_name"),
         F.col("n_nationkey").cast("long").alias("shop_id"),
@@ -133,11 +150,12 @@ def read_shops(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_inputs(spark: SparkSession, folder: str) -> Inputs:
+    item_cats = read_item_cats(spark, folder)
     return Inputs(
         sales=read_sales(spark, folder),
         targets=read_targets(spark, folder),
-        items=read_items(spark, folder),
-        item_cats=read_item_cats(spark, folder),
+        items=read_items(spark, folder, item_cats),
+        item_cats=item_cats,
         shops=read_shops(spark, folder),
         n_blocks=FORECAST_BLOCK,
     )

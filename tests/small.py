@@ -1,0 +1,36 @@
+"""Small hand-made inputs."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from panelforge.operators.panel import build_panel, load_targets
+
+SALES = (
+    "date date, date_block_num int, shop_id long, item_id long, item_cnt_day double, "
+    "item_price double, ord long"
+)
+
+
+def sales_frame(spark, rows):
+    """Rows of (block, shop, item, count, price); the day tells rows of a month apart."""
+    full = [
+        (date(2013 + b // 12, b % 12 + 1, i % 28 + 1), b, s, it, float(c), price, i)
+        for i, (b, s, it, c, price) in enumerate(rows)
+    ]
+    return spark.createDataFrame(full, SALES)
+
+
+def targets_frame(spark, pairs):
+    rows = [(i, s, it) for i, (s, it) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "ID long, shop_id long, item_id long")
+
+
+def small_panel(spark, rows, pairs, n_blocks, **kwargs):
+    targets = load_targets(targets_frame(spark, pairs))
+    return build_panel(sales_frame(spark, rows), targets, n_blocks, **kwargs), targets
+
+
+def by_key(df, *keys):
+    """Rows as dicts by key."""
+    return {tuple(row[k] for k in keys): row.asDict() for row in df.collect()}

@@ -1,0 +1,101 @@
+"""What the physical plans must and must not hold."""
+
+import re
+
+import pytest
+
+from panelforge.operators import lags, panel, stats, trend
+from panelforge.plans import catalog
+from panelforge.sources import order_lines
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def built(spark):
+    targets = panel.load_targets(order_lines.read_targets(spark, FOLDER))
+    sales = order_lines.read_sales(spark, FOLDER)
+    return panel.build_panel(sales, targets, catalog.N_BLOCKS, panel.COUNTS), targets
+
+
+def above(plan: str, operator: str) -> str:
+    """The plan lines above the first one that names ``operator``."""
+    return plan[: plan.index(operator)]
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda p, t: panel.monthly(p),
+        lambda p, t: lags.lags(p),
+        lambda p, t: trend.trend(p),
+        lambda p, t: trend.trend_pair_signal(p, t),
+    ],
+)
+def test_dense_rows_are_not_shuffled(built, make):
+    plan = plan_of(make(*built))
+    assert "Generate explode" in plan
+    assert "Exchange" not in above(plan, "Generate explode")
+
+
+def test_stored_panel_shuffles_pairs_not_months(built):
+    plan = plan_of(trend.trend(built[0].stored()))
+    assert "Exchange" not in above(plan, "Generate explode")
+    assert "Exchange hashpartitioning(shop_id" in plan
+
+
+def test_no_nested_loops(built):
+    for df in (
+        panel.monthly(built[0]),
+        panel.dense_grid(built[1], 82),
+        trend.trend_pair_signal(*built),
+        stats.shop_item_stats(built[0]),
+    ):
+        plan = plan_of(df)
+        assert "CartesianProduct" not in plan
+        assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_filters_and_columns_reach_the_scan(built):
+    plan = plan_of(built[0].cells)
+    scan = next(line for line in plan.splitlines() if "lineitem.parquet" in line)
+    assert "LessThan(l_shipdate" in scan
+    assert "l_orderkey" not in scan and "l_discount" not in scan
+
+
+def test_key_filters_run_before_the_aggregation(built):
+    """With short key lists the semi joins are broadcast and sit below the first shuffle."""
+    plan = plan_of(built[0].cells)
+    assert len(re.findall("BroadcastHashJoin.*LeftSemi", plan)) == 2
+    assert plan.index("LeftSemi") > plan.rindex("Exchange hashpartitioning")
+
+
+def test_long_key_lists_join_aggregated_rows(spark, built):
+    """Without broadcasts the semi joins come after the aggregation."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = panel.monthly_cells(
+            order_lines.read_sales(spark, FOLDER), built[1], 82, panel.COUNTS
+        )
+        plan = plan_of(cells)
+        rows = cells.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.index("LeftSemi") < plan.index("HashAggregate")
+    assert rows == built[0].cells.count()
+
+
+def test_aggregates_combine_before_the_shuffle(built):
+    plan = plan_of(built[0].cells)
+    assert "partial_sum(item_cnt_day" in plan
+
+
+def test_no_python_in_any_plan(spark):
+    for name in ("monthly", "trend_signal_pair", "describe_cnt", "train_price_discount"):
+        plan = plan_of(catalog.QUERIES[name](spark, FOLDER))
+        assert "Python" not in plan and "Pandas" not in plan
