@@ -15,7 +15,7 @@ from panelforge.session import materialize
 
 FEATURES = ["shop_id", "item_id", "item_category_id", "item_group"]
 # Split candidates per feature; ids are plain numbers with many distinct values.
-MAX_BINS = 256
+MAX_BINS = 128
 
 
 def _with_features(df: DataFrame, items: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def fit_price_model(price: DataFrame, items: DataFrame) -> PipelineModel:
         bootstrap=True,
         featureSubsetStrategy="all",
         maxBins=MAX_BINS,
-        maxMemoryInMB=1024,
+        maxMemoryInMB=512,
         cacheNodeIds=True,
         **FOREST,
     )

@@ -103,24 +103,14 @@ def describe_monthly(panel: Panel, targets: Targets, **limits: int) -> DataFrame
 
     The empty cells all hold 0 sales and 1 row, so they enter as one weighted value.
     """
-    columns = ["item_cnt", "item_order"]
-    sold = value_counts(panel.cells, columns)
-    cells = targets.n_cells(panel.n_blocks)
-    empty = panel.cells.agg((F.lit(cells).cast("long") - F.count(F.lit(1))).alias("n"))
-    defaults = F.explode(
-        F.array(
-            F.struct(F.lit("item_cnt").alias("column"), F.lit(0.0).alias("value")),
-            F.struct(F.lit("item_order").alias("column"), F.lit(1.0).alias("value")),
-        )
-    ).alias("_d")
-    blank = empty.select("n", defaults).select("_d.column", "_d.value", "n")
-    counts = (
-        sold.unionByName(blank)
-        .groupBy("column", "value")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") > 0)
-    )
-    return describe_counts(counts, **limits)
+    blanks = {"item_cnt": 0.0, "item_order": 1.0}
+    sold = materialize(value_counts(panel.cells, list(blanks)), "counts")
+    names = sold.sparkSession.createDataFrame(list(blanks.items()), "column string, value double")
+    used = sold.groupBy("column").agg(F.sum("n").alias("_used"))
+    empty = F.lit(targets.n_cells(panel.n_blocks)).cast("long") - F.coalesce("_used", F.lit(0))
+    blank = names.join(used, "column", "left").select("column", "value", empty.alias("n"))
+    counts = sold.unionByName(blank).groupBy("column", "value").agg(F.sum("n").alias("n"))
+    return describe_counts(counts.where(F.col("n") > 0), **limits)
 
 
 def largest(df: DataFrame, column: str, k: int = TOP_K) -> DataFrame:

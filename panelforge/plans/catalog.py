@@ -12,17 +12,21 @@ from panelforge.operators import clean, encode, impute, prices, profile, reshape
 from panelforge.operators import lags as lag_features
 from panelforge.operators import panel as panels
 from panelforge.operators.panel import COUNTS, PAIR, PRICES, Panel, Targets
-from panelforge.session import scratch_path
+from panelforge.session import materialize, scratch_path
 from panelforge.sources import csv
 from panelforge.sources import order_lines as source
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
 N_BLOCKS = source.FORECAST_BLOCK
+SOLD = COUNTS[:1]
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to a fixed number of digits; sums in another order differ in the last ones."""
+    """Doubles to a fixed number of digits; sums in another order differ in the last ones.
+
+    Not needed for sums of sold pieces, which are whole numbers and so exact.
+    """
     return df.select(
         *[
             F.round(name, DIGITS).alias(name) if kind == "double" else F.col(name)
@@ -49,6 +53,11 @@ def _price(spark: SparkSession, folder: str, targets: Targets) -> DataFrame:
     return prices.priced_rows(_panel(spark, folder, targets, PRICES).cells)
 
 
+def _stored_price(spark: SparkSession, folder: str, targets: Targets) -> DataFrame:
+    """Priced rows written out, for queries that read them more than once."""
+    return materialize(_price(spark, folder, targets), "price")
+
+
 def _through_csv(df: DataFrame, kinds: dict) -> DataFrame:
     path = scratch_path(df.sparkSession, "csv")
     csv.write_table(df, path)
@@ -129,7 +138,7 @@ def dedup_sales(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distinct_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.distinct_keys(source.read_targets(spark, folder), *PAIR)
+    return profile.distinct_keys(_targets(spark, folder).pairs, *PAIR)
 
 
 def semi_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,7 +161,7 @@ def grid_check(spark: SparkSession, folder: str) -> DataFrame:
 
 def monthly(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    return rounded(panels.monthly(_panel(spark, folder, targets)))
+    return panels.monthly(_panel(spark, folder, targets))
 
 
 def head_monthly(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,7 +196,7 @@ def item_group_onehot(spark: SparkSession, folder: str) -> DataFrame:
 def join_item_group(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
     panel = _panel(spark, folder, targets)
-    return rounded(panels.monthly_with_items(panel, _items(spark, folder)))
+    return panels.monthly_with_items(panel, _items(spark, folder))
 
 
 # Statistics
@@ -200,13 +209,13 @@ def shop_item_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def shop_group_mean(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    panel = _panel(spark, folder, targets)
+    panel = _panel(spark, folder, targets, SOLD)
     return rounded(stats.shop_group_mean(panel, targets, _items(spark, folder)))
 
 
 def group_lag_mean(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    panel = _panel(spark, folder, targets)
+    panel = _panel(spark, folder, targets, SOLD)
     return rounded(stats.group_lag_mean(panel, targets, _items(spark, folder)))
 
 
@@ -219,21 +228,21 @@ def describe_shop_item_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def describe_shop_group_mean(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    panel = _panel(spark, folder, targets)
+    panel = _panel(spark, folder, targets, SOLD)
     means = stats.shop_group_mean(panel, targets, _items(spark, folder))
     return rounded(profile.describe(means, "cnt_mean_shop_cat"))
 
 
 def describe_group_lag_mean(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    panel = _panel(spark, folder, targets)
+    panel = _panel(spark, folder, targets, SOLD)
     means = stats.group_lag_mean(panel, targets, _items(spark, folder))
     return rounded(profile.describe(means, "cnt_prev_cat"))
 
 
 def monthly_total(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    return rounded(stats.monthly_total(_panel(spark, folder, targets)))
+    return stats.monthly_total(_panel(spark, folder, targets, SOLD))
 
 
 # Lags, reshape, trend
@@ -244,12 +253,12 @@ def lags(spark: SparkSession, folder: str) -> DataFrame:
     wide = lag_features.lags(_panel(spark, folder, targets))
     # Row counts that may be NULL, as doubles.
     orders = {name: F.col(name).cast("double") for name in wide.columns if "order" in name}
-    return rounded(wide.withColumns(orders))
+    return wide.withColumns(orders)
 
 
 def pivot_monthly(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    return rounded(reshape.pivot_monthly(_panel(spark, folder, targets)))
+    return reshape.pivot_monthly(_panel(spark, folder, targets, SOLD))
 
 
 def unpivot_monthly(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,23 +267,23 @@ def unpivot_monthly(spark: SparkSession, folder: str) -> DataFrame:
 
 def pivot_group(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    panel = _panel(spark, folder, targets)
-    return rounded(stats.pivot_group(panel, targets, _items(spark, folder)))
+    panel = _panel(spark, folder, targets, SOLD)
+    return stats.pivot_group(panel, targets, _items(spark, folder))
 
 
 def trend_averages(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    return rounded(trend.trend(_panel(spark, folder, targets), signal_span=None))
+    return rounded(trend.trend(_panel(spark, folder, targets, SOLD), signal_span=None))
 
 
 def trend_signal_time(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    return rounded(trend.trend(_panel(spark, folder, targets)))
+    return rounded(trend.trend(_panel(spark, folder, targets, SOLD)))
 
 
 def trend_signal_pair(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    return rounded(trend.trend_pair_signal(_panel(spark, folder, targets), targets))
+    return rounded(trend.trend_pair_signal(_panel(spark, folder, targets, SOLD), targets))
 
 
 # Prices
@@ -308,30 +317,30 @@ def item_mean_price(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def train_price_discount(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(prices.train_price_discount(_price(spark, folder, _targets(spark, folder))))
+    return rounded(prices.train_price_discount(_stored_price(spark, folder, _targets(spark, folder))))
 
 
 def known_price_discount(spark: SparkSession, folder: str) -> DataFrame:
     """The part of ``test_price_discount`` that needs no predicted price."""
-    price = _price(spark, folder, _targets(spark, folder))
+    price = _stored_price(spark, folder, _targets(spark, folder))
     return rounded(prices.target_price_discount(prices.last_price(price), price))
 
 
 def impute_price(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    price = _price(spark, folder, targets)
+    price = _stored_price(spark, folder, targets)
     return rounded(impute.impute_price(targets.pairs, price, _items(spark, folder)))
 
 
 def test_price(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    price = _price(spark, folder, targets)
+    price = _stored_price(spark, folder, targets)
     return rounded(impute.target_price(targets.pairs, price, _items(spark, folder)))
 
 
 def test_price_discount(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    price = _price(spark, folder, targets)
+    price = _stored_price(spark, folder, targets)
     wanted = impute.target_price(targets.pairs, price, _items(spark, folder))
     return rounded(prices.target_price_discount(wanted, price))
 

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators.clean import drop_repeats
+from panelforge.operators.panel import build_panel, load_targets
+from panelforge.plans import reports
 from panelforge.plans.features import build_features
 from panelforge.sources import csv
 
@@ -87,7 +89,8 @@ def test_all_features_from_csv(spark, tmp_path):
     for name, lines in texts.items():
         (tmp_path / name).write_text("\n".join(lines) + "\n")
 
-    tables = build_features(csv.read_inputs(spark, str(tmp_path)))
+    inputs = csv.read_inputs(spark, str(tmp_path))
+    tables = build_features(inputs)
     rows = {name: df.count() for name, df in tables.items()}
     assert rows == {
         "items": 3,
@@ -105,3 +108,16 @@ def test_all_features_from_csv(spark, tmp_path):
         "test_price": rows["test_price"],
     }
     assert rows["test_price"] >= 1
+
+    targets = load_targets(inputs.targets)
+    panel = build_panel(inputs.sales, targets)
+    summaries = {
+        **reports.input_reports(inputs, targets),
+        **reports.panel_reports(panel, targets),
+        **reports.feature_reports(tables),
+    }
+    assert [r["item_id"] for r in summaries["never_sold"].collect()] == [9]
+    assert summaries["grid_check"].first()["grid_rows"] == 34 * 6
+    assert {n: df.count() for n, df in summaries.items() if n.startswith("head_")} == {
+        f"head_{n}": min(5, rows[n]) for n in tables
+    }
