@@ -133,9 +133,12 @@ class Panel:
     def partitioned(self) -> DataFrame:
         """``series`` partitioned by pair, for windows over a pair's months.
 
-        The shuffle, if any, moves one row per pair; the windows then need none.
+        The shuffle and sort, if any, handle one row per pair. The windows then shuffle
+        nothing and find the unfolded months in order.
         """
-        return self.series if self.by_pair else self.series.repartition(*PAIR)
+        if self.by_pair:
+            return self.series
+        return self.series.repartition(*PAIR).sortWithinPartitions(*PAIR)
 
     def stored(self) -> Panel:
         """The same panel on written tables, for use by several outputs."""

@@ -164,8 +164,8 @@ def trend_pair_signal(
     Averaging down the pairs and averaging along the months are both linear, so they may
     change places: sales are averaged down the pairs first, and the signal is the MACD of
     that. The pair order is cut into slices of equal length; one task holds a slice, and
-    what earlier slices add comes from their totals. Rows are shuffled by slice as one row
-    per pair; the dense months are made after that.
+    what earlier slices add comes from their totals. Down the pairs all months are summed
+    side by side on one row per pair; the dense months unfold after the last shuffle.
     """
     q = decay(signal_span)
     length = min(max_slice, _longest(q))
@@ -176,23 +176,31 @@ def trend_pair_signal(
     order = PairOrder.of(targets, **limits)
     n_slices = math.ceil(targets.n_shops * targets.n_items / length)
     carried = _carried(order.place(panel.clipped_cells(), length), q, length, n_slices)
+    down = _so_far("_slice", order="_off")
+    own = [
+        F.sum(F.get("_x", F.lit(m)) * power(-F.col("_off"))).over(down)
+        for m in range(panel.n_blocks)
+    ]
     bottom = (F.lit(1.0) - power(F.col("_pos") + 1)) / (1.0 - q)
     sliced = (
         order.place(panel.series, length)
         .repartition("_slice")
         .join(carried, "_slice", "left")
-        # Weights of the pair, worked out before the months unfold.
-        .withColumn("_grow", power(-F.col("_off")))
+        .withColumn("_x", panel.months())
+        .withColumn("_own", F.array(*own))
         .withColumn("_shrink", power(F.col("_off")) / bottom)
     )
-    earlier = F.coalesce(F.try_element_at("_carried", F.col(BLOCK)), F.lit(0.0))
-    down = _so_far("_slice", BLOCK, order="_off")
-    own = F.sum(F.col("_x") * F.col("_grow")).over(down)
-    df = _dense(
-        sliced, panel, "_slice", "_off", "_grow", "_shrink", earlier.alias("_earlier")
-    ).withColumn("_y", (own + F.col("_earlier") * F.lit(q)) * F.col("_shrink"))
-
-    # Clustered by slice already, so this window moves no rows either.
+    month = F.col(BLOCK)
+    earlier = F.coalesce(F.try_element_at("_carried", month), F.lit(0.0))
+    df = with_blocks(sliced, 0, panel.n_blocks - 1).select(
+        BLOCK,
+        *PAIR,
+        "_slice",
+        F.get("_x", month).alias("_x"),
+        ((F.get("_own", month) + earlier * F.lit(q)) * F.col("_shrink")).alias("_y"),
+    )
+
+    # Clustered by slice already and in pair order, so this window moves no rows.
     months = _so_far("_slice", *PAIR, order=BLOCK)
     short, middle, long = spans
     wanted = {
