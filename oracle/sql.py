@@ -358,7 +358,7 @@ ORACLES = {
         "monthly",
         "coded_items",
     ),
-    "trend_averages": _with(f"SELECT {TREND} FROM macds", "macds"),
+    "trend": _with(f"SELECT {TREND} FROM macds", "macds"),
     "trend_signal_time": _with(
         f"""SELECT {TREND}, {_r('sig', 'cnt_sig_prev')}
             FROM (SELECT *, sum(macd * pow(0.8, -date_block_num)) OVER w

@@ -9,7 +9,7 @@ months x shops x items rows are never shuffled or sorted.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -140,15 +140,6 @@ class Panel:
             return self.series
         return self.series.repartition(*PAIR).sortWithinPartitions(*PAIR)
 
-    def stored(self) -> Panel:
-        """The same panel on written tables, for use by several outputs."""
-        return replace(
-            self,
-            cells=materialize(self.cells, "cells"),
-            series=materialize(self.series, "series"),
-            by_pair=False,
-        )
-
     def raw_count(self, block: Column) -> Column:
         """Sales of a month, 0 where there are none, before clipping."""
         return F.coalesce(F.try_element_at("history", block)["item_cnt"], F.lit(0.0))
@@ -180,8 +171,16 @@ def build_panel(
     n_blocks: int = N_BLOCKS,
     measures: Sequence[str] = COUNTS + PRICES,
     bounds: tuple[float, float] = CLIP,
+    store: bool = False,
 ) -> Panel:
+    """The panel of ``sales`` on the target shops and items.
+
+    With ``store`` cells and series are written out, the series from the written cells: for
+    several outputs that together read the sales once.
+    """
     cells = monthly_cells(sales, targets, n_blocks, measures)
+    if store:
+        cells = materialize(cells, "cells")
     history = cells.groupBy(*PAIR).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(BLOCK), F.struct(*measures)))).alias(
             "history"
@@ -189,7 +188,9 @@ def build_panel(
     )
     # Partitioned by pair before the join, so it is after the join whatever its strategy.
     series = target_pairs(targets).repartition(*PAIR).join(history, PAIR, "left")
-    return Panel(cells, series, n_blocks, bounds, by_pair=True)
+    if store:
+        series = materialize(series, "series")
+    return Panel(cells, series, n_blocks, bounds, by_pair=not store)
 
 
 def monthly(panel: Panel) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import group_word
-from panelforge.operators import clean, encode, impute, prices, profile, reshape, stats, trend
+from panelforge.operators import clean, encode, impute, prices, profile, reshape, stats
 from panelforge.operators import lags as lag_features
 from panelforge.operators import panel as panels
+from panelforge.operators import trend as trends
 from panelforge.operators.panel import COUNTS, PAIR, PRICES, Panel, Targets
 from panelforge.session import materialize, scratch_path
 from panelforge.sources import csv
@@ -271,19 +272,19 @@ def pivot_group(spark: SparkSession, folder: str) -> DataFrame:
     return stats.pivot_group(panel, targets, _items(spark, folder))
 
 
-def trend_averages(spark: SparkSession, folder: str) -> DataFrame:
+def trend(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    return rounded(trend.trend(_panel(spark, folder, targets, SOLD), signal_span=None))
+    return rounded(trends.trend(_panel(spark, folder, targets, SOLD), signal_span=None))
 
 
 def trend_signal_time(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    return rounded(trend.trend(_panel(spark, folder, targets, SOLD)))
+    return rounded(trends.trend(_panel(spark, folder, targets, SOLD)))
 
 
 def trend_signal_pair(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    return rounded(trend.trend_pair_signal(_panel(spark, folder, targets, SOLD), targets))
+    return rounded(trends.trend_pair_signal(_panel(spark, folder, targets, SOLD), targets))
 
 
 # Prices
@@ -383,7 +384,7 @@ QUERIES: dict[str, Query] = {
         pivot_monthly,
         unpivot_monthly,
         pivot_group,
-        trend_averages,
+        trend,
         trend_signal_time,
         trend_signal_pair,
         mean_price,

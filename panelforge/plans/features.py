@@ -51,7 +51,7 @@ def build_features(inputs: Inputs) -> dict[str, DataFrame]:
     """
     targets = load_targets(inputs.targets)
     items = materialize(encode_items(inputs.items, inputs.item_cats), "items")
-    panel = build_panel(inputs.sales, targets, inputs.n_blocks).stored()
+    panel = build_panel(inputs.sales, targets, inputs.n_blocks, store=True)
     return {
         "items": items,
         "shops": encode_shops(inputs.shops),

@@ -186,8 +186,8 @@ def test_monthly_with_items(spark, small):
     assert got[(0, 1, 11)]["item_group"] is None
 
 
-def test_stored_panel_gives_the_same(small):
-    stored = small[0].stored()
+def test_stored_panel_gives_the_same(spark, small):
+    stored, _ = small_panel(spark, ROWS, PAIRS, 6, store=True)
     assert panel.monthly(stored).exceptAll(panel.monthly(small[0])).isEmpty()
     assert panel.monthly(small[0]).exceptAll(panel.monthly(stored)).isEmpty()
 

@@ -42,8 +42,10 @@ def test_dense_rows_are_not_shuffled(built, make):
     assert "Exchange" not in above(plan, "Generate explode")
 
 
-def test_stored_panel_shuffles_pairs_not_months(built):
-    plan = plan_of(trend.trend(built[0].stored()))
+def test_stored_panel_shuffles_pairs_not_months(spark, built):
+    sales = order_lines.read_sales(spark, FOLDER)
+    stored = panel.build_panel(sales, built[1], 82, panel.COUNTS, store=True)
+    plan = plan_of(trend.trend(stored))
     assert "Exchange" not in above(plan, "Generate explode")
     assert "Exchange hashpartitioning(shop_id" in plan
 
@@ -95,6 +97,15 @@ def test_aggregates_combine_before_the_shuffle(built):
     assert "partial_sum(item_cnt_day" in plan
 
 
+@pytest.mark.parametrize("name", ["monthly", "lags", "trend_signal_pair", "group_lag_mean"])
+def test_sales_are_read_once(spark, name):
+    """After reuse of equal shuffles one scan of the lines is left."""
+    df = catalog.QUERIES[name](spark, FOLDER)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert len(re.findall("FileScan parquet .*lineitem", final)) == 1
+
+
 def test_no_python_in_any_plan(spark):
     for name in ("monthly", "trend_signal_pair", "describe_cnt", "train_price_discount"):
         plan = plan_of(catalog.QUERIES[name](spark, FOLDER))
