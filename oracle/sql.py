@@ -288,6 +288,14 @@ ORACLES = {
            FROM shops""",
         "shops",
     ),
+    "label_words": _with(
+        """SELECT DISTINCT 'item_group' AS code, split_part(item_category_name, ' ', 1) AS word
+           FROM item_cats
+           UNION ALL
+           SELECT DISTINCT 'city', split_part(replace(shop_name, '!', ''), ' ', 1) FROM shops""",
+        "item_cats",
+        "shops",
+    ),
     "items_with_group": _with("SELECT * FROM coded_items", "coded_items"),
     "item_group_onehot": _with(
         "SELECT item_category_name, item_category_id, "

@@ -41,6 +41,15 @@ def encode_shops(shops: DataFrame) -> DataFrame:
     return with_label_code(shops, city_word(F.col("shop_name")), "city")
 
 
+def label_words(item_cats: DataFrame, shops: DataFrame) -> DataFrame:
+    """The distinct words behind the codes of categories and shops."""
+    groups = item_cats.select(
+        F.lit("item_group").alias("code"), group_word(F.col("item_category_name")).alias("word")
+    )
+    cities = shops.select(F.lit("city").alias("code"), city_word(F.col("shop_name")).alias("word"))
+    return groups.unionByName(cities).distinct()
+
+
 def distinct_values(df: DataFrame, column: str, limit: int = MAX_LABEL_COLUMNS) -> list:
     """Sorted distinct non-NULL values of a column that is about to become column names."""
     rows = (

@@ -24,20 +24,20 @@ def running_total(
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows strictly before, ordered by ``order``.
 
-    Rows must be distinct on ``order``. A counted small input is ordered in one task.
-    A larger one is split into key ranges; the ranges are written out so that a row's
-    range cannot change on a retry, each range is summed on its own, and the totals of the
-    earlier ranges (one row per range) are added.
+    Rows must be distinct on ``order``; ``df`` is read more than once, so it is best a
+    written table. A counted small input is ordered in one task. A larger one is split into
+    key ranges; the ranges are written out so that a row's range cannot change on a retry,
+    each range is summed on its own, and the totals of the earlier ranges (one row per
+    range) are added.
     """
-    counted = df.limit(local_rows + 1).count()
-    if counted <= local_rows:
+    rows = df.count()
+    if rows <= local_rows:
         before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(weight).over(before), F.lit(0)))
 
-    stored = materialize(df, "ordered")
-    slices = max(2, math.ceil(stored.count() / rows_per_slice))
+    slices = max(2, math.ceil(rows / rows_per_slice))
     ranged = materialize(
-        stored.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()),
+        df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()),
         "ranges",
     )
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

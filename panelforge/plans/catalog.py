@@ -185,6 +185,12 @@ def shop_city(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_shops(source.read_shops(spark, folder))
 
 
+def label_words(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.label_words(
+        source.read_item_cats(spark, folder), source.read_shops(spark, folder)
+    )
+
+
 def items_with_group(spark: SparkSession, folder: str) -> DataFrame:
     return _items(spark, folder)
 
@@ -370,6 +376,7 @@ QUERIES: dict[str, Query] = {
         describe_monthly,
         item_group,
         shop_city,
+        label_words,
         items_with_group,
         item_group_onehot,
         join_item_group,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from panelforge.operators import clean, profile
+from panelforge.operators import clean, encode, profile
 from panelforge.operators.panel import BLOCK, PAIR, Panel, Targets, grid_check
 from panelforge.sources.inputs import Inputs
 
@@ -27,6 +27,7 @@ def input_reports(inputs: Inputs, targets: Targets) -> dict[str, DataFrame]:
         "largest_cnt": profile.largest(sales, "item_cnt_day"),
         "never_sold": clean.keep_unknown(targets.items, sales, "item_id"),
         "repeats": clean.repeat_counts(sales),
+        "label_words": encode.label_words(inputs.item_cats, inputs.shops),
     }
 
 
