@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -16,6 +18,8 @@ from panelforge.session import materialize
 FEATURES = ["shop_id", "item_id", "item_category_id", "item_group"]
 # Split candidates per feature; ids are plain numbers with many distinct values.
 MAX_BINS = 128
+# Fewer training rows than this do not make up a task of their own.
+ROWS_PER_TASK = 2_000
 
 
 def _with_features(df: DataFrame, items: DataFrame) -> DataFrame:
@@ -38,6 +42,10 @@ def fit_price_model(price: DataFrame, items: DataFrame) -> PipelineModel:
     rows = materialize(
         _with_features(pairs, items).select(*FEATURES, "item_price", "_weight"), "priced"
     )
+    context = rows.sparkSession.sparkContext
+    tasks = min(context.defaultParallelism, math.ceil(rows.count() / ROWS_PER_TASK))
+    if rows.rdd.getNumPartitions() < tasks:
+        rows = rows.repartition(tasks)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="skip")
     forest = RandomForestRegressor(
         featuresCol="_features",

@@ -30,12 +30,16 @@ SHOPS = {"shop_name": T.StringType(), "shop_id": T.LongType()}
 KEYS = {"shop_id", "item_id", "date_block_num"}
 
 
-def read_table(spark: SparkSession, path: str, kinds: dict[str, T.DataType]) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, kinds: dict[str, T.DataType], multiline: bool = False
+) -> DataFrame:
     """A CSV table by column name, whatever the column order; other columns stay text.
 
-    Bad values and missing keys stop the read instead of passing as NULL.
+    A quote inside a quoted text is doubled. ``multiline`` allows line breaks in quotes, at
+    the price of one task per file. Bad values and missing keys stop the read instead of
+    passing as NULL.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
     names = reader.csv(path).columns
     missing = set(kinds) - set(names)
     if missing:
@@ -92,4 +96,7 @@ def write_table(df: DataFrame, path: str) -> None:
         for f in df.schema.fields
         if isinstance(f.dataType, T.DateType)
     }
-    df.withColumns(dates).write.option("header", True).csv(path)
+    writer = df.withColumns(dates).write.option("header", True).option("escape", '"')
+    for side in ("Leading", "Trailing"):
+        writer = writer.option(f"ignore{side}WhiteSpace", False)
+    writer.csv(path)

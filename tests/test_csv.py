@@ -30,6 +30,19 @@ def test_columns_are_found_by_name(spark, tmp_path):
     assert row["extra"] == "x"
 
 
+def test_quotes_commas_spaces_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text('shop_name,shop_id\n"Town ""Mall"", a\\b",1\n lead x,2\n"two\nlines",3\n')
+    rows = csv.read_table(spark, str(path), csv.SHOPS, multiline=True).collect()
+    names = ['Town "Mall", a\\b', " lead x", "two\nlines"]
+    assert [r["shop_name"] for r in rows] == names
+
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "shop_name string, shop_id long")
+    csv.write_table(df, f"{tmp_path}/back")
+    back = csv.read_table(spark, f"{tmp_path}/back", csv.SHOPS, multiline=True)
+    assert sorted(back.collect()) == sorted(df.collect())
+
+
 def test_missing_column_key_or_bad_value(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("ID,shop_id\n1,2\n")
