@@ -30,18 +30,18 @@ def describe_counts(counts: DataFrame, **limits: int) -> DataFrame:
 
     Quartiles interpolate between the two neighbouring ranks. The ranks come from running
     totals over the sorted distinct values, so no task holds all values of a column.
+    ``counts`` is read several times, so it should come from a written table.
     """
-    stored = materialize(counts.select("column", "value", "n"), "counts")
     weighted = F.col("value") * F.col("n")
     # One row per described column.
     overview = {
         row["column"]: row
-        for row in stored.groupBy("column")
+        for row in counts.groupBy("column")
         .agg(F.sum("n").alias("rows"), (F.sum(weighted) / F.sum("n")).alias("mean"))
         .collect()
     }
     return (
-        running_total(stored, ["column", "value"], F.col("n"), "_before", **limits)
+        running_total(counts, ["column", "value"], F.col("n"), "_before", **limits)
         .groupBy("column")
         .agg(*_summary(overview, _first_rank(overview)))
     )
@@ -95,7 +95,7 @@ def _summary(overview: dict, first: dict[str, int]) -> list:
 
 def describe(df: DataFrame, *columns: str, **limits: int) -> DataFrame:
     """One row per column of ``df`` named."""
-    return describe_counts(value_counts(df, columns), **limits)
+    return describe_counts(materialize(value_counts(df, columns), "counts"), **limits)
 
 
 def describe_monthly(panel: Panel, targets: Targets, **limits: int) -> DataFrame:
@@ -105,7 +105,17 @@ def describe_monthly(panel: Panel, targets: Targets, **limits: int) -> DataFrame
     """
     blanks = {"item_cnt": 0.0, "item_order": 1.0}
     sold = materialize(value_counts(panel.cells, list(blanks)), "counts")
-    names = sold.sparkSession.createDataFrame(list(blanks.items()), "column string, value double")
+    one = sold.sparkSession.range(1)
+    names = one.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(name).alias("column"), F.lit(value).alias("value"))
+                    for name, value in blanks.items()
+                ]
+            )
+        )
+    )
     used = sold.groupBy("column").agg(F.sum("n").alias("_used"))
     empty = F.lit(targets.n_cells(panel.n_blocks)).cast("long") - F.coalesce("_used", F.lit(0))
     blank = names.join(used, "column", "left").select("column", "value", empty.alias("n"))
