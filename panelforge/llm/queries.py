@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import quality_rules, word_bpe
+from panelforge.llm import best_fit_packing, line_dedup, quality_rules, word_bpe
 from panelforge.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(read(spark, sf_dir, "documents"))
 
@@ -24,8 +32,10 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op2_bpe_round_trip,
+        op4_line_dedup,
+        op5_best_fit_packing,
         op8_quality_rules,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
