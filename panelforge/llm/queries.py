@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import best_fit_packing, line_dedup, quality_rules, word_bpe
+from panelforge.llm import (
+    best_fit_packing,
+    feistel_sharding,
+    line_dedup,
+    quality_rules,
+    url_filters,
+    word_bpe,
+)
 from panelforge.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +23,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read(spark, sf_dir, "documents"))
 
@@ -24,6 +35,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(read(spark, sf_dir, "documents"))
 
@@ -32,8 +47,10 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op2_bpe_round_trip,
+        op3_feistel_sharding,
         op4_line_dedup,
         op5_best_fit_packing,
+        op7_url_filters,
         op8_quality_rules,
     )
 }
