@@ -10,6 +10,7 @@ from panelforge.llm import (
     best_fit_packing,
     feistel_sharding,
     line_dedup,
+    ngram_jaccard_join,
     quality_rules,
     url_filters,
     word_bpe,
@@ -19,6 +20,10 @@ from panelforge.llm.tables import read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(read(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_ngram_jaccard_join,
         op2_bpe_round_trip,
         op3_feistel_sharding,
         op4_line_dedup,

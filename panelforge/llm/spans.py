@@ -123,7 +123,7 @@ def window_hashes(
     With ``short``, a row of fewer words, but at least one, has its whole sequence as its
     only run; without, it has none.
     """
-    factors = mixed(np.arange(1, size + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
+    factors = mixed(np.arange(1, size + 2, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
     n = len(h)
     total = np.zeros(n, np.uint64)
     for k in range(min(size, n)):
@@ -133,7 +133,8 @@ def window_hashes(
     if short:
         for i in np.flatnonzero((words.count > 0) & (words.count < size)):
             a, m = words.first[i], words.count[i]
-            total[a] = (h[a : a + m] * factors[:m]).sum(dtype=np.uint64) + np.uint64(m) * _GOLDEN
+            short_run = np.append(h[a : a + m] * factors[:m], factors[m])
+            total[a] = short_run.sum(dtype=np.uint64)
             begins[a] = True
     at = np.flatnonzero(begins)
     return mixed(total[at]), at, row[at]
