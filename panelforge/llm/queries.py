@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm import (
     best_fit_packing,
+    chat_formatting,
     feistel_sharding,
+    fingerprints,
     line_dedup,
     ngram_jaccard_join,
     quality_rules,
@@ -40,6 +42,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"))
 
@@ -48,6 +54,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(read(spark, sf_dir, "documents"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -56,9 +66,14 @@ QUERIES: dict[str, Query] = {
         op3_feistel_sharding,
         op4_line_dedup,
         op5_best_fit_packing,
+        op6_chat_formatting,
         op7_url_filters,
         op8_quality_rules,
+        op9_document_fingerprints,
     )
 }
 
-ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op6_chat_formatting": chat_formatting.ORACLE,
+}
