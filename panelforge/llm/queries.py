@@ -11,6 +11,7 @@ from panelforge.llm import (
     chat_formatting,
     feistel_sharding,
     fingerprints,
+    license_scans,
     line_dedup,
     ngram_jaccard_join,
     quality_rules,
@@ -58,6 +59,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
         op7_url_filters,
         op8_quality_rules,
         op9_document_fingerprints,
+        op10_license_scans,
     )
 }
 

@@ -17,8 +17,8 @@ PIECE_BYTES = 4 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 
 # Odd constants of the hashes, from the golden ratio and the murmur finalizer.
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -70,7 +70,7 @@ def text_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     if size:
         data[:size] = np.frombuffer(buffer, np.uint8, size, int(bounds[0]))
         if lower:
-            data[:size] = _LOWER[data[:size]]
+            data[:size] = LOWER[data[:size]]
     return data, bounds - bounds[0]
 
 
