@@ -64,29 +64,32 @@ def _digests(batch: pa.RecordBatch, min_chars: int) -> Iterator[tuple[int, set[b
             yield doc_id, {digest(key) for key in keys if is_long(key, min_chars)}
 
 
-def _places(digests: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment, and the two bits in it, of digests given as pairs of 64-bit halves."""
-    segment = digests[:, 0] % np.uint64(bits // SEGMENT_BITS)
-    low = digests[:, 1]
-    return segment.astype(np.int32), np.stack(
-        [low % np.uint64(SEGMENT_BITS), (low >> np.uint64(32)) % np.uint64(SEGMENT_BITS)], 1
-    ).astype(np.int64)
+def _segment(high: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of digests by their first 64 bits."""
+    return (high % np.uint64(segments)).astype(np.int32)
 
 
-def filter_bits(docs: DataFrame) -> int:
-    """Bits of a filter by the number of lines, a power of two up to ``MAX_BITS``."""
+def _places(low: np.ndarray, size: int) -> list[np.ndarray]:
+    """The two bits in a segment of ``size`` bits, by the other 64 bits."""
+    both = (low, low >> np.uint64(32))
+    return [(half % np.uint64(size)).astype(np.int64) for half in both]
+
+
+def filter_shape(docs: DataFrame, max_bits: int) -> tuple[int, int]:
+    """Segments of a filter and their bits, powers of two, by the number of lines."""
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     lines = docs.agg(F.sum(breaks + 1)).first()[0] or 0
-    return min(MAX_BITS, max(SEGMENT_BITS, 1 << (BITS_PER_LINE * int(lines)).bit_length()))
+    bits = min(max_bits, max(64, 1 << (BITS_PER_LINE * int(lines)).bit_length()))
+    size = min(bits, SEGMENT_BITS)
+    return bits // size, size
 
 
-def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
+def twice_filter(docs: DataFrame, min_chars: int, segments: int, size: int) -> np.ndarray:
     """The filter of keys seen twice, one row of packed bits per segment.
 
     No key of two documents is missed: within a batch it is sent twice, and of two batches
     the later finds it seen once.
     """
-    segments = bits // SEGMENT_BITS
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +100,7 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
                         seen[key] = min(2, seen.get(key, 0) + 1)
                 sent = b"".join(key * n for key, n in seen.items())
                 halves = np.frombuffer(sent, "<u8").reshape(-1, 2)
-                segment, _ = _places(halves, bits)
+                segment = _segment(halves[:, 0], segments)
                 order = np.argsort(segment, kind="stable")
                 names, starts = np.unique(segment[order], return_index=True)
                 parts = np.split(halves[order, 1], starts[1:])
@@ -115,11 +118,9 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
         for batch in batches:
             for name, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name not in once:
-                    once[name] = np.zeros(SEGMENT_BITS, bool)
-                    twice[name] = np.zeros(SEGMENT_BITS, bool)
+                    once[name], twice[name] = np.zeros(size, bool), np.zeros(size, bool)
                 low, n = np.unique(np.frombuffer(low, "<u8"), return_counts=True)
-                halves = np.stack([low, low], 1)
-                a, b = _places(halves, SEGMENT_BITS)[1].T
+                a, b = _places(low, size)
                 again = (n > 1) | (once[name][a] & once[name][b])
                 twice[name][a[again]] = True
                 twice[name][b[again]] = True
@@ -139,18 +140,22 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
         .mapInArrow(dealt, schema(segment="int", low="binary"))
         .repartition(min(segments, 256), "segment")
         .mapInArrow(built, schema(segment="int", bits="binary"))
-        .toLocalIterator()
+        .collect()
     )
-    out = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
+    out = np.zeros((segments, size // 8), np.uint8)
     for row in rows:
         out[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
-def suspects(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id and ``key`` of the lines whose hash passes the filter, once per document."""
-    bits = filter_bits(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
+def suspects(docs: DataFrame, min_chars: int, max_bits: int) -> DataFrame:
+    """doc_id and ``key`` of the lines whose hash passes the filter, once per document.
+
+    The filter, of ``max_bits`` at most, goes through the driver as a whole.
+    """
+    segments, size = filter_shape(docs, max_bits)
+    made = twice_filter(docs, min_chars, segments, size)
+    sent = docs.sparkSession.sparkContext.broadcast(made)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +165,8 @@ def suspects(docs: DataFrame, min_chars: int) -> DataFrame:
                     keys += found
                     ids += [doc_id] * len(found)
                 halves = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
-                segment, places = _places(halves, bits)
-                kept = np.ones(len(ids), bool)
-                for place in places.T:
+                segment, kept = _segment(halves[:, 0], segments), np.ones(len(ids), bool)
+                for place in _places(halves[:, 1], size):
                     kept &= (sent.value[segment, place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
                 rows = pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"]
@@ -172,14 +176,14 @@ def suspects(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(passed, schema(doc_id="long", key="binary"))
 
 
-def repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeats(docs: DataFrame, min_chars: int, max_bits: int) -> DataFrame:
     """doc_id and ``keys``: the digests of the lines that the document loses.
 
     The suspects are written out because they are read twice, and so are the confirmed keys:
     with a table on both sides, Spark can split the rows of a frequent line.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    found = materialize(suspects(docs, min_chars), "suspects")
+    found = materialize(suspects(docs, min_chars, max_bits), "suspects")
     ends = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     confirmed = ends.where(F.col("first") < F.col("last")).select("key", "first")
     confirmed = materialize(confirmed, "repeated")
@@ -194,10 +198,10 @@ def _unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _with_losses(docs: DataFrame, min_chars: int) -> tuple[DataFrame, str]:
+def _with_losses(docs: DataFrame, min_chars: int, max_bits: int) -> tuple[DataFrame, str]:
     """The documents with a further column of the keys they lose, and its name."""
     keys, id_ = _unused(docs, "_lost_keys"), _unused(docs, "_lost_id")
-    lost = repeats(docs, min_chars).toDF(id_, keys)
+    lost = repeats(docs, min_chars, max_bits).toDF(id_, keys)
     # The losses are much smaller than the texts, which are so not sorted.
     joined = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost[id_], "left")
     return joined.drop(id_), keys
@@ -216,9 +220,12 @@ def _keep(text: bytes, lost: list[bytes] | None, min_chars: int) -> tuple[bytes,
     return b"\n".join(kept), len(lines) - len(kept)
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(
+    docs: DataFrame, min_chars: int = MIN_CHARS, max_bits: int = MAX_BITS
+) -> DataFrame:
     """The documents with their remaining lines as ``text``; other columns as they were."""
-    marked, keys = _with_losses(docs, min_chars)
+    names = docs.columns
+    marked, keys = _with_losses(docs, min_chars, max_bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,15 +237,17 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     text[row] = _keep(text[row].encode(), gone, min_chars)[0].decode()
             columns = [c for name, c in zip(batch.schema.names, batch.columns) if name != keys]
             columns[at] = pa.array(text, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return marked.mapInArrow(cut, docs.schema)
 
 
-def report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def report(
+    docs: DataFrame, min_chars: int = MIN_CHARS, max_bits: int = MAX_BITS
+) -> DataFrame:
     """Per document: its lines before, the lines dropped and the digest of what is kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    marked, keys = _with_losses(docs, min_chars)
+    marked, keys = _with_losses(docs, min_chars, max_bits)
     out = schema(doc_id="long", n_lines="long", n_dropped="long", kept_sha256="string")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -507,3 +507,17 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
             ),
         )
     )
+
+
+def keep_one(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """The documents without those that links connect to one with a smaller id.
+
+    Rows of one id stay together, and rows without an id stay.
+    """
+    found = materialize(join(docs, size).select("doc_id", "component_id"), "components")
+    least = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = materialize(gone.join(least, "doc_id", "left_anti"), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
