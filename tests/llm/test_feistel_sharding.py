@@ -1,0 +1,63 @@
+import zlib
+
+import odd
+import pytest
+from pyspark.sql import functions as F
+
+from panelforge.llm import feistel_sharding as sharding
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 24, 100, 5041, 5042])
+def test_places_are_a_permutation(spark, n):
+    rows = spark.range(n).select("id", sharding.place(F.col("id"), n).alias("p"))
+    got = {r["id"]: r["p"] for r in rows.collect()}
+    assert sorted(got.values()) == list(range(n))
+    if n > 50:
+        assert sum(i == p for i, p in got.items()) < n / 5
+
+
+def test_the_key_decides(spark):
+    rows = spark.range(500).select(
+        *[sharding.place(F.col("id"), 500, key).alias(f"k{key}") for key in (1, 2)]
+    )
+    assert rows.where("k1 = k2").count() < 50
+    assert rows.collect() == rows.collect()
+
+
+def by_brute_force(rows):
+    """Numbers by sorting all rows; places from the operator's own permutation."""
+    keyed = [
+        (i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for i, t in rows
+    ]
+    keyed.sort(key=lambda r: (r[0] is not None, r))
+    return keyed
+
+
+@pytest.mark.parametrize("which", ["odd", "corpus"])
+def test_documents(spark, docs, small, which):
+    df, rows = (docs, odd.texts()) if which == "odd" else small
+    got = sharding.shard(df).collect()
+    wanted = by_brute_force(rows)
+    n = len(wanted)
+    places = spark.range(n).select(sharding.place(F.col("id"), n).alias("p")).collect()
+    expected = [
+        (i, size, crc, "rows", r["p"] % 24, r["p"] // 24, None)
+        for (i, crc, size), r in zip(wanted, places, strict=True)
+    ]
+    assert odd.ordered(tuple(r) for r in got) == odd.ordered(expected)
+    counts = [sum(r["shard"] == s for r in got) for s in range(24)]
+    assert max(counts) - min(counts) <= 1
+    for s in range(24):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
+
+
+def test_many_equal_rows(spark):
+    df = spark.createDataFrame([(7, "same")] * 1000, "doc_id long, text string")
+    got = sharding.shard(df, shards=4).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [
+        (s, k) for s in range(4) for k in range(250)
+    ]
+
+
+def test_empty_table(no_docs):
+    assert sharding.shard(no_docs).collect() == []
