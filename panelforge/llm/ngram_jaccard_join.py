@@ -11,14 +11,15 @@ sets that are similar enough share at least ``m`` tokens among their first
    less than four fifths of its tokens in another set goes.
 3. *Prefix length.* Each set takes the ``m`` of least estimated cost: the lengths of the
    token lists that its prefix meets, plus verifying the candidates that can have ``m`` of
-   its tokens.
+   its tokens. Pairs are found by one shared token of the shortest prefixes; before they are
+   verified, prefixes as long as the lesser ``m`` of the two must share as many.
 4. *Dense families.* Sets that meet the same first set most often form a family. Families
    are cut into blocks of bounded size with a few common members, and linked inside the
    blocks. Copies of one text by the thousand so become one component without their pairs.
-5. *The rest.* Sets that share prefix tokens and are not in one component yet are paired,
-   the pairs with too few shared tokens dropped, the others verified. A pair inside a
-   component can add nothing and is never made: per token, only the sets outside its most
-   frequent component meet all others.
+5. *The rest.* Sets that share a prefix token and are not in one component yet are paired,
+   unless its places, or bits of the sets, show that they share too little. A pair inside a component can add
+   nothing and is never made: per token, only the sets outside its most frequent component
+   meet all others.
 
 Tokens and sets are told apart by 64-bit hashes (sets in the first place by 128 bits), the
 filter by fewer, where a collision can only keep a set too many.
@@ -55,6 +56,7 @@ BROADCAST_IDS = 1_000_000
 # Cost of verifying a candidate, in entries of token lists.
 VERIFY_COST = 16
 BLOCK, DELEGATES = 256, 16
+PARITY_BITS = 256
 # Columns of the tables that one product of a block covers.
 WIDTH = 8192
 
@@ -273,32 +275,38 @@ def best_match_count(n: int, df: np.ndarray) -> int:
     return int(m[(met * (1 + VERIFY_COST / m)).argmin()])
 
 
-def prefixes(finalists: DataFrame) -> DataFrame:
-    """One row per set and prefix token, with its place from 0 in the set."""
-    out = schema(token="long", node="long", n="long", m="int", place="int")
+def with_match_counts(finalists: DataFrame) -> DataFrame:
+    """Add ``m``, the shared prefix tokens that a set asks for, and ``parity``.
+
+    Bit i of the parity says whether the number of tokens that hash to i is odd. Two
+    parities differ in at most as many bits as there are tokens in one of the sets only.
+    """
+    out = schema(
+        node="long",
+        n="long",
+        m="int",
+        rare="array<struct<df:long,token:long>>",
+        parity="array<long>",
+    )
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rare = batch.column("rare")
-            ends = spans.offsets(rare)
+            ends = spans.offsets(rare).tolist()
             df = rare.values.field("df").to_numpy(zero_copy_only=False)
             token = rare.values.field("token").to_numpy(zero_copy_only=False)
-            sizes = batch.column("n").to_pylist()
-            asked, firsts, taken = [], [], []
-            for n, a, b in zip(sizes, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                m, unique = best_match_count(n, df[a:b]), n - (b - a)
-                asked.append(m)
-                firsts.append(unique)
-                taken.append(token[a : a + max(0, n - need(n) + m - unique)])
-            k = [len(t) for t in taken]
-            inner = np.arange(sum(k)) - np.repeat(np.cumsum([0, *k])[:-1], k)
+            m, parity = [], []
+            for n, a, b in zip(batch.column("n").to_pylist(), ends[:-1], ends[1:], strict=True):
+                m.append(best_match_count(n, df[a:b]))
+                odd = np.bincount(token[a:b] & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([np.empty(0, np.int64), *taken])),
-                    pa.array(np.repeat(batch.column("node").to_numpy(), k)),
-                    pa.array(np.repeat(np.array(sizes, np.int64), k)),
-                    pa.array(np.repeat(np.array(asked, np.int32), k)),
-                    pa.array((np.repeat(firsts, k) + inner).astype(np.int32)),
+                    batch.column("node"),
+                    batch.column("n"),
+                    pa.array(m, pa.int32()),
+                    rare,
+                    pa.array(parity, pa.list_(pa.int64())),
                 ],
                 out.names,
             )
@@ -306,6 +314,21 @@ def prefixes(finalists: DataFrame) -> DataFrame:
     return finalists.mapInArrow(made, out)
 
 
+def first_prefixes(finalists: DataFrame) -> DataFrame:
+    """One row per set and token of its prefix for one shared token.
+
+    ``place`` is the token's place from 0 in the set, where the first ``alone`` places are
+    those of tokens in no other set. What similar sets share begins in both prefixes.
+    """
+    n, alone = F.col("n"), F.col("n") - F.size("rare")
+    taken = F.greatest(n - F.ceil(n * LEAST / 100) + 1 - alone, F.lit(0)).cast("int")
+    rows = finalists.select(
+        "node", "n", alone.alias("alone"), "parity", F.posexplode(F.slice("rare", 1, taken))
+    )
+    place = (F.col("pos") + F.col("alone")).alias("place")
+    return rows.select(F.col("col.token").alias("token"), "node", "n", "alone", place, "parity")
+
+
 def families(rows: DataFrame) -> DataFrame:
     """``family``, ``block`` and ``node``: sets by the first set that they meet most often.
 
@@ -390,57 +413,77 @@ def family_links(rows: DataFrame, finalists: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of sets in different components with enough shared prefix tokens."""
-    rows = materialize(
-        rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "rows"
-    )
+    """Pairs of sets in different components with a common token in their first prefixes.
+
+    A shared token bounds how much two sets can share: before it the fewer of the tokens
+    that either has before it and not alone, after it the fewer of the tokens left. And they
+    differ in all their alone tokens and at least as many others as bits of their parities.
+    Where they can share too little, the token pairs nothing.
+    """
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = materialize(rows, "rows")
     mixed = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = mixed.groupBy("token").agg(
         F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels")
     )
     mixed = mixed.where(F.col("labels") > 1).select("token", F.col("most.label").alias("top"))
     rows = materialize(rows.join(materialize(mixed, "mixed"), "token"), "rows")
-    fields = ("node", "n", "m", "place", "label")
+    fields = ("node", "n", "place", "alone", "label", "parity")
     left = rows.where(F.col("label") != F.col("top"))
     left = left.select("token", *[F.col(c).alias(f"{c}_l") for c in fields])
     right = rows.select("token", "top", *[F.col(c).alias(f"{c}_r") for c in fields])
-    asked = F.least("m_l", "m_r")
-
-    def inside(side: str) -> Column:
-        n = F.col(f"n_{side}")
-        return F.col(f"place_{side}") < n - F.ceil(n * LEAST / 100) + asked
-
+    before = F.least(F.col("place_l") - F.col("alone_l"), F.col("place_r") - F.col("alone_r"))
+    most = before + F.least(F.col("n_l") - F.col("place_l"), F.col("n_r") - F.col("place_r"))
+    apart = F.col("alone_l") + F.col("alone_r")
+    for i in range(PARITY_BITS // 64):
+        apart += F.bit_count(F.col("parity_l")[i].bitwiseXOR(F.col("parity_r")[i]))
     return (
         left.join(right, "token")
         .where(F.col("label_l") != F.col("label_r"))
         .where((F.col("label_r") == F.col("top")) | (F.col("node_l") < F.col("node_r")))
-        .where(F.least("n_l", "n_r") * 100 >= F.greatest("n_l", "n_r") * LEAST)
-        .where(inside("l") & inside("r"))
-        .groupBy(
-            F.least("node_l", "node_r").alias("a"),
-            F.greatest("node_l", "node_r").alias("b"),
-            asked.alias("asked"),
+        .where(most * 100 >= (F.col("n_l") + F.col("n_r") - most) * LEAST)
+        .where(apart * (100 + LEAST) <= (F.col("n_l") + F.col("n_r")) * (100 - LEAST))
+        .select(
+            F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")
         )
-        .agg(F.count(F.lit(1)).alias("met"))
-        .where(F.col("met") >= F.col("asked"))
-        .select("a", "b")
+        .distinct()
     )
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def _is_similar(a: tuple, b: tuple) -> bool:
+    """Two sets, each given as size, asked matches and tokens in order, the alone ones left out.
+
+    Only if their prefixes for the lesser of the asked matches share as many tokens are the
+    whole sets compared.
+    """
+    asked = min(a[1], b[1])
+    heads = [t[: max(0, len(t) - need(n) + asked)] for n, _, t in (a, b)]
+    if _shared(*heads) < asked:
+        return False
+    both = _shared(a[2], b[2])
+    return 100 * both >= LEAST * (a[0] + b[0] - both)
+
+
 def verified(pairs: DataFrame, finalists: DataFrame) -> DataFrame:
     """The pairs that are similar."""
-    arrays = finalists.select("node", "n", F.col("rare.token").alias("tokens"))
-    a, b = (arrays.toDF(side, f"n_{side}", f"tokens_{side}") for side in "ab")
+    arrays = finalists.select("node", "n", "m", F.col("rare.token").alias("tokens"))
+    a, b = (arrays.toDF(side, f"n_{side}", f"m_{side}", f"tokens_{side}") for side in "ab")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b")]
-            tokens = [batch.column(c) for c in ("tokens_a", "tokens_b")]
-            for i, (n, k) in enumerate(zip(*columns, strict=True)):
-                x, y = (np.asarray(t[i].values) for t in tokens)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(100 * both >= LEAST * (n + k - both))
+            sides = []
+            for side in "ab":
+                n, m = (batch.column(f"{c}_{side}").to_pylist() for c in "nm")
+                tokens = batch.column(f"tokens_{side}")
+                ends = spans.offsets(tokens).tolist()
+                flat = tokens.values.to_numpy(zero_copy_only=False)
+                own = [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                sides.append(zip(n, m, own, strict=True))
+            kept = [_is_similar(x, y) for x, y in zip(*sides, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return pairs.join(a, "a").join(b, "b").mapInArrow(checked, schema(a="long", b="long"))
@@ -460,8 +503,9 @@ def linked_sets(docs: DataFrame, made: DataFrame, classes: DataFrame, size: int)
         classes.withColumn("short", short).join(counts, "short").where(F.col("shared") >= asked)
     )
     chosen = materialize(chosen.select("rep", "key", "node"), "chosen")
-    finalists = materialize(by_frequency(full_sets(docs, chosen, size)), "finalists")
-    rows = materialize(prefixes(finalists), "prefixes")
+    finalists = with_match_counts(by_frequency(full_sets(docs, chosen, size)))
+    finalists = materialize(finalists, "finalists")
+    rows = materialize(first_prefixes(finalists), "prefixes")
     near = materialize(components(family_links(rows, finalists)), "near")
     links = verified(candidates(rows, near), finalists)
     link_ends = (
