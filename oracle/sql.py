@@ -19,19 +19,22 @@ CTES = {
                    AS date_block_num,
                CAST(s_nationkey AS BIGINT) AS shop_id, l_partkey AS item_id,
                CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS item_cnt_day,
-               l_extendedprice / l_quantity AS item_price,
+               CASE WHEN l_discount = CAST(0.1 AS DOUBLE) AND l_tax = CAST(0.08 AS DOUBLE) THEN 0
+                    ELSE l_extendedprice / l_quantity END AS item_price,
+               l_orderkey * 8 + l_linenumber AS line,
                l_returnflag, l_linestatus, l_tax,
                l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 50) AS is_new
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
     "sales": """
         SELECT date, date_block_num, shop_id, item_id, item_price, item_cnt_day,
-               item_price AS ord
+               line * 1000000 + CAST(round(item_price * 100) AS BIGINT) AS ord
         FROM lines WHERE date_block_num < 82 AND NOT is_new
         UNION ALL
-        SELECT date, date_block_num, shop_id, item_id, item_price * (1.0 + l_tax), item_cnt_day,
-               1e9 + item_price * (1.0 + l_tax)
-        FROM lines WHERE date_block_num < 82 AND NOT is_new
-             AND l_returnflag = 'A' AND l_linestatus = 'F'""",
+        SELECT date, date_block_num, shop_id, item_id, price, item_cnt_day,
+               (1000000000000 + line) * 1000000 + CAST(round(price * 100) AS BIGINT)
+        FROM (SELECT *, item_price * (CAST(0.96 AS DOUBLE) + l_tax) AS price FROM lines
+              WHERE date_block_num < 82 AND NOT is_new
+                    AND l_returnflag = 'A' AND l_linestatus = 'F')""",
     "targets": """
         SELECT item_id * 1000 + shop_id AS ID, shop_id, item_id
         FROM (SELECT DISTINCT shop_id, item_id FROM lines
@@ -43,7 +46,8 @@ CTES = {
         FROM (SELECT DISTINCT p_type || ' ' || p_brand AS item_category_name FROM part)""",
     "item_cats": "SELECT item_category_name, item_category_id FROM categories",
     "items": """
-        SELECT p_name AS item_name, p_partkey AS item_id, item_category_id
+        SELECT p_name AS item_name, p_partkey AS item_id,
+               CASE WHEN p_brand <> 'Brand#13' THEN item_category_id END AS item_category_id
         FROM part JOIN categories ON item_category_name = p_type || ' ' || p_brand""",
     "shops": """
         SELECT '!' || r_name || ' ' || n_name AS shop_name, CAST(n_nationkey AS BIGINT) AS shop_id
@@ -203,11 +207,14 @@ TREND = ", ".join(
 DISCOUNT = "1 - item_price / nullif({}, 0)"
 SALES = f"date, date_block_num, shop_id, item_id, item_cnt_day, {_r('item_price')}"
 KEYS = "date_block_num, shop_id, item_id"
+# Codes that may be NULL, as doubles.
+CATEGORY = "CAST(item_category_id AS DOUBLE) AS item_category_id"
+GROUP = "CAST(item_group AS DOUBLE) AS item_group"
 
 ORACLES = {
     "scan_sales": _with(f"SELECT {SALES} FROM sales", "sales"),
     "scan_targets": _with("SELECT ID, shop_id, item_id FROM targets", "targets"),
-    "scan_items": _with("SELECT item_name, item_id, item_category_id FROM items", "items"),
+    "scan_items": _with(f"SELECT item_name, item_id, {CATEGORY} FROM items", "items"),
     "scan_item_cats": _with("SELECT * FROM item_cats", "item_cats"),
     "scan_shops": _with("SELECT * FROM shops", "shops"),
     "table_shapes": _with(
@@ -296,7 +303,9 @@ ORACLES = {
         "item_cats",
         "shops",
     ),
-    "items_with_group": _with("SELECT * FROM coded_items", "coded_items"),
+    "items_with_group": _with(
+        f"SELECT item_name, item_id, {CATEGORY}, {GROUP} FROM coded_items", "coded_items"
+    ),
     "item_group_onehot": _with(
         "SELECT item_category_name, item_category_id, "
         + ", ".join(
@@ -308,7 +317,7 @@ ORACLES = {
         "item_cats",
     ),
     "join_item_group": _with(
-        f"""SELECT {KEYS}, {_r('item_cnt')}, item_order, item_category_id, item_name, item_group
+        f"""SELECT {KEYS}, {_r('item_cnt')}, item_order, {CATEGORY}, item_name, {GROUP}
             FROM monthly LEFT JOIN coded_items USING (item_id)""",
         "monthly",
         "coded_items",
@@ -376,16 +385,21 @@ ORACLES = {
                                ROWS UNBOUNDED PRECEDING))""",
         "macds",
     ),
-    # 0.8^200 is below 1e-19, so 200 earlier pairs decide every printed digit.
+    # 0.8^200 is below 1e-19, so 200 earlier pairs decide every printed digit. The weights
+    # of the pairs from the current one back are the start of one list.
     "trend_signal_pair": _with(
         f"""SELECT {TREND}, {_r('sig', 'cnt_sig_prev')}
-            FROM macds JOIN (
-                SELECT a.date_block_num AS block, a.pos AS place,
-                       sum(b.macd * pow(0.8, a.pos - b.pos)) / sum(pow(0.8, a.pos - b.pos)) AS sig
-                FROM (SELECT date_block_num, pos, unnest(range(0, 201)) AS back FROM macds) a
-                JOIN macds b ON b.date_block_num = a.date_block_num AND b.pos = a.pos - a.back
-                GROUP BY a.date_block_num, a.pos
-            ) ON block = date_block_num AND place = pos""",
+            FROM (
+                SELECT * EXCLUDE (near),
+                       list_inner_product(list_reverse(near), weights[1:len(near)])
+                           / list_sum(weights[1:len(near)]) AS sig
+                FROM (
+                    SELECT *, list(macd) OVER (PARTITION BY date_block_num ORDER BY pos
+                               ROWS BETWEEN 200 PRECEDING AND CURRENT ROW) AS near
+                    FROM macds
+                ), (SELECT CAST([{', '.join(repr(0.8**k) for k in range(201))}] AS DOUBLE[])
+                           AS weights)
+            )""",
         "macds",
     ),
     "mean_price": _with(f"SELECT {KEYS}, {_r('item_price')} FROM totals", "totals"),
@@ -409,6 +423,26 @@ ORACLES = {
         "targets",
         "prices",
     ),
+    # Predictions cannot be checked by value; here is what surrounds them.
+    "impute_price_check": _with(
+        """SELECT shop_id, item_id, TRUE AS is_priced, TRUE AS in_training_range FROM targets
+           JOIN items USING (item_id) WHERE item_id NOT IN (SELECT item_id FROM prices)""",
+        "targets",
+        "items",
+        "prices",
+    ),
+    "test_price_check": _with(
+        f"""SELECT shop_id, item_id, TRUE AS is_known, {_r('item_price')},
+                   {_r(DISCOUNT.format('item_max_price'), 'discount_rate')}
+            FROM last_prices JOIN max_prices USING (item_id)
+            UNION ALL
+            SELECT shop_id, item_id, FALSE, NULL, 0.0 FROM targets JOIN items USING (item_id)
+            WHERE item_id NOT IN (SELECT item_id FROM prices)""",
+        "targets",
+        "items",
+        "last_prices",
+        "max_prices",
+    ),
     "train_price_discount": _with(
         f"""SELECT {KEYS}, {_r('item_price')},
                    {_r(DISCOUNT.format('item_max_price'), 'discount_rate')}

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import city_word, group_word
 from panelforge.operators.ordering import dense_positions
 
-# More distinct labels than this are not turned into columns.
-MAX_LABEL_COLUMNS = 10_000
-
 
 def with_label_code(df: DataFrame, label: Column, out: str, **limits: int) -> DataFrame:
     """Add ``out``: the rank from 0 of ``label`` among its sorted distinct values.
@@ -50,20 +49,24 @@ def label_words(item_cats: DataFrame, shops: DataFrame) -> DataFrame:
     return groups.unionByName(cities).distinct()
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = MAX_LABEL_COLUMNS) -> list:
-    """Sorted distinct non-NULL values of a column that is about to become column names."""
-    rows = (
-        df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    )
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; keep it in rows")
+def distinct_values(df: DataFrame, column: str) -> list:
+    """Sorted distinct non-NULL values of a column that is about to become column names.
+
+    A table has its column names in its schema on the driver, so the names go there too.
+    """
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted(row[0] for row in rows)
 
 
-def one_hot(df: DataFrame, label: Column, prefix: str) -> DataFrame:
-    """One 0/1 column per label, the first in sort order left out."""
+def one_hot(
+    df: DataFrame, label: Column, prefix: str, labels: Sequence | None = None
+) -> DataFrame:
+    """One 0/1 column per label, the first in sort order left out.
+
+    ``labels`` saves looking for them.
+    """
     labelled = df.withColumn("_label", label)
-    kept = distinct_values(labelled, "_label")[1:]
+    kept = (distinct_values(labelled, "_label") if labels is None else sorted(labels))[1:]
     indicators = {
         f"{prefix}_{value}": (F.col("_label") == F.lit(value)).cast("int") for value in kept
     }

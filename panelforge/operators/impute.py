@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -18,35 +16,49 @@ from panelforge.session import materialize
 FEATURES = ["shop_id", "item_id", "item_category_id", "item_group"]
 # Split candidates per feature; ids are plain numbers with many distinct values.
 MAX_BINS = 128
-# Fewer training rows than this do not make up a task of their own.
-ROWS_PER_TASK = 2_000
+# Partitions of the training rows. Spark ML draws its resamples by partition, so the number
+# is part of the model and does not follow the cores.
+TRAINING_PARTITIONS = 16
+# Digits of a training price; sums in another order differ in the last ones only.
+PRICE_DIGITS = 6
+# Category and group of an item that has none.
+NO_CODE = -1
 
 
 def _with_features(df: DataFrame, items: DataFrame) -> DataFrame:
-    """Items outside the item table drop out."""
-    return df.join(items.select("item_id", "item_category_id", "item_group"), "item_id")
+    """Items outside the item table drop out; those without a category stay, coded as such."""
+    features = items.select(
+        "item_id",
+        F.coalesce("item_category_id", F.lit(NO_CODE)).alias("item_category_id"),
+        F.coalesce("item_group", F.lit(NO_CODE)).alias("item_group"),
+    )
+    return df.join(features, "item_id")
 
 
-def fit_price_model(price: DataFrame, items: DataFrame) -> PipelineModel:
+def fit_price_model(
+    price: DataFrame,
+    items: DataFrame,
+    partitions: int = TRAINING_PARTITIONS,
+    max_bins: int = MAX_BINS,
+) -> PipelineModel:
     """A forest on all priced rows; every split looks at all features.
 
     Spark ML has no extremely randomized trees. Trees differ by resampling the rows here,
     so predictions are close in kind but not equal. The month is no feature, so the priced
     months of a pair are one training row: their mean, weighted by their number. The rows
-    are written out because training reads them several times.
+    are put in a fixed order in a fixed number of ``partitions``, so that the model is the
+    same on any cluster. ``max_bins`` is the number of split candidates per feature. The
+    rows are written out because training reads them several times.
     """
     pairs = price.groupBy(*PAIR).agg(
-        F.avg("item_price").alias("item_price"),
+        F.round(F.avg("item_price"), PRICE_DIGITS).alias("item_price"),
         F.count(F.lit(1)).cast("double").alias("_weight"),
     )
     rows = materialize(
         _with_features(pairs, items).select(*FEATURES, "item_price", "_weight"), "priced"
     )
-    context = rows.sparkSession.sparkContext
-    tasks = min(context.defaultParallelism, math.ceil(rows.count() / ROWS_PER_TASK))
-    if rows.rdd.getNumPartitions() < tasks:
-        rows = rows.repartition(tasks)
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="skip")
+    rows = rows.repartition(partitions, *PAIR).sortWithinPartitions(*PAIR)
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
     forest = RandomForestRegressor(
         featuresCol="_features",
         labelCol="item_price",
@@ -54,7 +66,7 @@ def fit_price_model(price: DataFrame, items: DataFrame) -> PipelineModel:
         weightCol="_weight",
         bootstrap=True,
         featureSubsetStrategy="all",
-        maxBins=MAX_BINS,
+        maxBins=max_bins,
         maxMemoryInMB=512,
         cacheNodeIds=True,
         **FOREST,
@@ -67,7 +79,7 @@ def impute_price(targets: DataFrame, price: DataFrame, items: DataFrame) -> Data
 
     Without such pairs no model is trained.
     """
-    wanted = _with_features(unpriced_pairs(targets, price), items)
+    wanted = materialize(_with_features(unpriced_pairs(targets, price), items), "unpriced")
     if wanted.isEmpty():
         return wanted.select(*PAIR, F.lit(None).cast("double").alias("item_price"))
     predicted = fit_price_model(price, items).transform(wanted)

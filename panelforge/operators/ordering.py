@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.session import materialize
 
-# Up to this many rows one task orders the rows; beyond it they are split into ranges.
-LOCAL_ROWS = 200_000
+# Rows of a range that one task sums, where there are more than the session's partitions.
 ROWS_PER_SLICE = 1_000_000
 
 
@@ -19,23 +18,17 @@ def running_total(
     order: list[str],
     weight: Column,
     out: str,
-    local_rows: int = LOCAL_ROWS,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows strictly before, ordered by ``order``.
 
     Rows must be distinct on ``order``; ``df`` is read more than once, so it is best a
-    written table. A counted small input is ordered in one task. A larger one is split into
-    key ranges; the ranges are written out so that a row's range cannot change on a retry,
-    each range is summed on its own, and the totals of the earlier ranges (one row per
-    range) are added.
+    written table. Its rows are split into key ranges; the ranges are written out so that a
+    row's range cannot change on a retry, each range is summed on its own, and the totals of
+    the earlier ranges (one row per range) are added.
     """
-    rows = df.count()
-    if rows <= local_rows:
-        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(weight).over(before), F.lit(0)))
-
-    slices = max(2, math.ceil(rows / rows_per_slice))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(partitions, math.ceil(df.count() / rows_per_slice))
     ranged = materialize(
         df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()),
         "ranges",

@@ -3,11 +3,12 @@
 Most cells of a dense panel are empty. Sales are aggregated to the cells that have any,
 these are gathered per pair (at most one entry per month) and joined to the pairs once.
 Dense rows are made from the map where they are needed, after the last shuffle, so the
-months x shops x items rows are never shuffled or sorted.
+months x shops x items rows are never shuffled, and only sorted where a result needs it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -24,6 +25,10 @@ BLOCK = "date_block_num"
 PAIR = ["shop_id", "item_id"]
 COUNTS = ("item_cnt", "item_order")
 PRICES = ("item_price",)
+# Dense rows that one task makes, where they are more than the session's partitions make.
+ROWS_PER_TASK = 2_000_000
+# Pieces of a product per task, so that tasks come out about equal.
+PIECES_PER_TASK = 16
 
 
 def _measure(name: str) -> Column:
@@ -37,11 +42,21 @@ def _measure(name: str) -> Column:
 
 @dataclass(frozen=True)
 class Targets:
-    """What to forecast: the pairs, and the distinct shops and items among them."""
+    """What to forecast: the pairs, and the distinct shops and items among them.
+
+    The key lists are written out when first used, so the planner knows how large each is.
+    Its choice between broadcast and shuffle joins then rests on true sizes.
+    """
 
     pairs: DataFrame
-    shops: DataFrame
-    items: DataFrame
+
+    @cached_property
+    def shops(self) -> DataFrame:
+        return materialize(self.pairs.select("shop_id").distinct(), "shops")
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return materialize(self.pairs.select("item_id").distinct(), "items")
 
     @cached_property
     def n_items(self) -> int:
@@ -54,16 +69,15 @@ class Targets:
     def n_cells(self, n_blocks: int) -> int:
         return n_blocks * self.n_shops * self.n_items
 
+    def tasks(self, n_blocks: int) -> int:
+        """Tasks for the dense rows of so many months."""
+        partitions = int(self.pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return max(partitions, math.ceil(self.n_cells(n_blocks) / ROWS_PER_TASK))
 
-def load_targets(pairs: DataFrame) -> Targets:
-    """Write the pairs and both key lists out, so the planner knows how large each is.
 
-    Its choice between broadcast and shuffle joins then rests on true sizes.
-    """
-    stored = materialize(pairs, "targets")
-    shops = materialize(stored.select("shop_id").distinct(), "shops")
-    items = materialize(stored.select("item_id").distinct(), "items")
-    return Targets(stored, shops, items)
+def load_targets(pairs: DataFrame) -> Targets:
+    """The pairs, written out because both key lists are made from them."""
+    return Targets(materialize(pairs, "targets"))
 
 
 def monthly_cells(
@@ -74,36 +88,59 @@ def monthly_cells(
 ) -> DataFrame:
     """Non-empty cells of the panel: de-duplicated sales per month, shop and item.
 
-    The filters on month, shop and item stand after the aggregation they commute with:
-    Spark moves them to the scan where the key lists are small enough to broadcast, and
-    otherwise joins the few aggregated rows instead of all sales of a popular item.
+    The filters on month, shop and item come first, so the shuffle by all five keys moves
+    only rows that stay. Short key lists are broadcast; with long ones Spark can split the
+    sales of a popular item in the join.
     """
-    cells = (
-        drop_repeats(sales, DEDUP_KEYS)
+    wanted = sales.where(F.col(BLOCK).between(0, n_blocks - 1))
+    wanted = keep_known(keep_known(wanted, targets.items, "item_id"), targets.shops, "shop_id")
+    return (
+        drop_repeats(wanted, DEDUP_KEYS)
         .groupBy(BLOCK, *PAIR)
         .agg(*[_measure(name) for name in measures])
-        .where(F.col(BLOCK).between(0, n_blocks - 1))
     )
-    return keep_known(keep_known(cells, targets.items, "item_id"), targets.shops, "shop_id")
 
 
-def product(left: DataFrame, right: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Every row of ``left`` with every row of ``right``, as an equi-join on a bucket number.
+def product(
+    left: DataFrame, right: DataFrame, n_left: int, n_right: int, tasks: int
+) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``, in ``tasks`` partitions.
 
-    Left rows are spread over the buckets and the (smaller) right side is repeated in each,
-    so the pairs are made in parallel whatever the sizes.
+    Both sides are cut into chunks by hash, and each pair of chunks is one value of a join
+    key: rows are repeated once per chunk of the other side, far less often than the product
+    has rows. ``n_left`` and ``n_right`` are the rows of the sides or bounds on them. A hint
+    keeps Spark from broadcasting a side whose repeats its size estimate does not count.
     """
-    buckets = buckets or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = left.withColumn("_bucket", F.pmod(F.xxhash64(*left.columns), F.lit(buckets)))
-    repeated = right.withColumn(
-        "_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))
-    )
-    return spread.join(repeated, "_bucket").drop("_bucket")
+    keys = tasks * PIECES_PER_TASK
+    n_left, n_right = max(1, n_left), max(1, n_right)
+    chunks_r = max(1, min(n_right, round(math.sqrt(keys * n_right / n_left))))
+    chunks_l = max(1, min(n_left, math.ceil(keys / chunks_r)))
+
+    def chunk(df: DataFrame, chunks: int) -> Column:
+        return F.pmod(F.xxhash64(*df.columns), F.lit(chunks))
 
+    def upto(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
-def target_pairs(targets: Targets) -> DataFrame:
-    """All target shops with all target items, also where targets lack the pair."""
-    return product(targets.items, targets.shops).select(*PAIR)
+    def dealt(df: DataFrame, key: Column) -> DataFrame:
+        return df.withColumn("_key", key).drop("_other").repartition(tasks, "_key")
+
+    own = chunk(left, chunks_l) * F.lit(chunks_r) + F.col("_other")
+    lefts = dealt(left.withColumn("_other", upto(chunks_r)), own)
+    own = F.col("_other") * F.lit(chunks_r) + chunk(right, chunks_r)
+    rights = dealt(right.withColumn("_other", upto(chunks_l)), own)
+    return lefts.join(rights.hint("merge"), "_key").drop("_key")
+
+
+def target_pairs(targets: Targets, n_blocks: int = 1) -> DataFrame:
+    """All target shops with all target items, also where targets lack the pair.
+
+    The partitions are meant for ``n_blocks`` dense rows per pair.
+    """
+    made = product(
+        targets.items, targets.shops, targets.n_items, targets.n_shops, targets.tasks(n_blocks)
+    )
+    return made.select(*PAIR)
 
 
 def with_blocks(df: DataFrame, first: int, last: int) -> DataFrame:
@@ -113,32 +150,21 @@ def with_blocks(df: DataFrame, first: int, last: int) -> DataFrame:
 
 def dense_grid(targets: Targets, n_blocks: int = N_BLOCKS) -> DataFrame:
     """Keys of the dense panel."""
-    return with_blocks(target_pairs(targets), 0, n_blocks - 1).select(BLOCK, *PAIR)
+    pairs = target_pairs(targets, n_blocks)
+    return with_blocks(pairs, 0, n_blocks - 1).select(BLOCK, *PAIR)
 
 
 @dataclass(frozen=True)
 class Panel:
     """``cells``: non-empty cells. ``series``: one row per pair, ``history`` its cells by month.
 
-    ``history`` is NULL for a pair that never sold. ``by_pair`` says whether the rows of
-    ``series`` are already hash-partitioned by pair.
+    ``history`` is NULL for a pair that never sold.
     """
 
     cells: DataFrame
     series: DataFrame
     n_blocks: int
     bounds: tuple[float, float] = CLIP
-    by_pair: bool = False
-
-    def partitioned(self) -> DataFrame:
-        """``series`` partitioned by pair, for windows over a pair's months.
-
-        The shuffle and sort, if any, handle one row per pair. The windows then shuffle
-        nothing and find the unfolded months in order.
-        """
-        if self.by_pair:
-            return self.series
-        return self.series.repartition(*PAIR).sortWithinPartitions(*PAIR)
 
     def raw_count(self, block: Column) -> Column:
         """Sales of a month, 0 where there are none, before clipping."""
@@ -186,11 +212,12 @@ def build_panel(
             "history"
         )
     )
-    # Partitioned by pair before the join, so it is after the join whatever its strategy.
-    series = target_pairs(targets).repartition(*PAIR).join(history, PAIR, "left")
+    # A number of partitions that is set here is not merged for the small rows of pairs.
+    pairs = target_pairs(targets, n_blocks).repartition(targets.tasks(n_blocks), *PAIR)
+    series = pairs.join(history, PAIR, "left")
     if store:
         series = materialize(series, "series")
-    return Panel(cells, series, n_blocks, bounds, by_pair=not store)
+    return Panel(cells, series, n_blocks, bounds)
 
 
 def monthly(panel: Panel) -> DataFrame:

@@ -25,9 +25,11 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def describe_counts(counts: DataFrame, **limits: int) -> DataFrame:
+def describe_counts(counts: DataFrame, columns: Sequence[str], **limits: int) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles from value counts.
 
+    A column without values has the count 0 and nothing else.
+
     Quartiles interpolate between the two neighbouring ranks. The ranks come from running
     totals over the sorted distinct values, so no task holds all values of a column.
     ``counts`` is read several times, so it should come from a written table.
@@ -40,11 +42,15 @@ def describe_counts(counts: DataFrame, **limits: int) -> DataFrame:
         .agg(F.sum("n").alias("rows"), (F.sum(weighted) / F.sum("n")).alias("mean"))
         .collect()
     }
-    return (
+    found = (
         running_total(counts, ["column", "value"], F.col("n"), "_before", **limits)
         .groupBy("column")
         .agg(*_summary(overview, _first_rank(overview)))
     )
+    named = counts.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(name) for name in columns])).alias("column")
+    )
+    return named.join(found, "column", "left").fillna(0, ["count"])
 
 
 def _first_rank(overview: dict) -> dict[str, int]:
@@ -95,7 +101,7 @@ def _summary(overview: dict, first: dict[str, int]) -> list:
 
 def describe(df: DataFrame, *columns: str, **limits: int) -> DataFrame:
     """One row per column of ``df`` named."""
-    return describe_counts(materialize(value_counts(df, columns), "counts"), **limits)
+    return describe_counts(materialize(value_counts(df, columns), "counts"), columns, **limits)
 
 
 def describe_monthly(panel: Panel, targets: Targets, **limits: int) -> DataFrame:
@@ -120,7 +126,7 @@ def describe_monthly(panel: Panel, targets: Targets, **limits: int) -> DataFrame
     empty = F.lit(targets.n_cells(panel.n_blocks)).cast("long") - F.coalesce("_used", F.lit(0))
     blank = names.join(used, "column", "left").select("column", "value", empty.alias("n"))
     counts = sold.unionByName(blank).groupBy("column", "value").agg(F.sum("n").alias("n"))
-    return describe_counts(counts.where(F.col("n") > 0), **limits)
+    return describe_counts(counts.where(F.col("n") > 0), list(blanks), **limits)
 
 
 def largest(df: DataFrame, column: str, k: int = TOP_K) -> DataFrame:

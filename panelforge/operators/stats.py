@@ -61,6 +61,14 @@ def _group_sizes(targets: Targets, items: DataFrame) -> DataFrame:
     )
 
 
+def _groups_by_shop(targets: Targets, items: DataFrame, n_blocks: int) -> DataFrame:
+    """All groups with all shops; there are no more groups than items."""
+    sizes = _group_sizes(targets, items)
+    return product(
+        sizes, targets.shops, targets.n_items, targets.n_shops, targets.tasks(n_blocks)
+    )
+
+
 def _group_cells(panel: Panel, items: DataFrame) -> DataFrame:
     known = items.where(F.col("item_group").isNotNull()).select("item_id", "item_group")
     return panel.clipped_cells().join(known, "item_id")
@@ -70,7 +78,7 @@ def shop_group_mean(panel: Panel, targets: Targets, items: DataFrame) -> DataFra
     """Mean monthly sales per shop and item group over all cells, empty ones included."""
     keys = ["shop_id", "item_group"]
     sums = _group_cells(panel, items).groupBy(*keys).agg(F.sum("item_cnt").alias("_sum"))
-    frame = product(_group_sizes(targets, items), targets.shops)
+    frame = _groups_by_shop(targets, items, 1)
     return frame.join(sums, keys, "left").select(
         *keys,
         (F.coalesce("_sum", F.lit(0.0)) / (F.col("_items") * panel.n_blocks)).alias(
@@ -88,7 +96,7 @@ def group_lag_mean(panel: Panel, targets: Targets, items: DataFrame) -> DataFram
         .groupBy(*keys)
         .agg(F.sum("item_cnt").alias("_sum"))
     )
-    groups = product(_group_sizes(targets, items), targets.shops)
+    groups = _groups_by_shop(targets, items, panel.n_blocks)
     frame = with_blocks(groups, 1, panel.n_blocks)
     return frame.join(sums, keys, "left").select(
         *keys, (F.coalesce("_sum", F.lit(0.0)) / F.col("_items")).alias("cnt_prev_cat")

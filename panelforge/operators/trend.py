@@ -1,8 +1,8 @@
 """Exponential moving averages, MACD and its signal line.
 
 The average with span ``s`` is the bias-adjusted one: with ``q = 1 - 2 / (s + 1)`` the
-value at step t is ``sum(q^(t-j) x_j) / sum(q^(t-j))`` over j <= t. As a running sum that
-is ``q^t * sum(q^-j x_j)`` over a geometric series.
+value at step t is ``sum(q^(t-j) x_j) / sum(q^(t-j))`` over j <= t. Along the months it is a
+recurrence over the array of a pair's months, on one row per pair; dense rows unfold last.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelforge.constants import EMA_SPANS, SIGNAL_SPAN
 from panelforge.operators.ordering import dense_positions
-from panelforge.operators.panel import BLOCK, PAIR, Panel, Targets, with_blocks
+from panelforge.operators.panel import BLOCK, PAIR, Panel, Targets
 
 # The weights of one running sum must stay within doubles: q^-t below about e^600.
 MAX_EXPONENT = 600.0
@@ -43,34 +43,34 @@ def _so_far(*keys: str, order: str) -> WindowSpec:
     )
 
 
-def _lookup(values: list[float]) -> Column:
-    """Value of the current month from a list of one value per month."""
-    return F.get(F.array(*[F.lit(v) for v in values]), F.col(BLOCK))
+def averages(values: Column, span: float) -> Column:
+    """Moving averages of an array of any length, as an array."""
+    q = decay(span)
+    start = F.struct(
+        F.lit(0.0).alias("top"),
+        F.lit(0.0).alias("bottom"),
+        F.array().cast("array<double>").alias("out"),
+    )
 
+    def step(at: Column, value: Column) -> Column:
+        top, bottom = at["top"] * q + value, at["bottom"] * q + 1.0
+        out = F.array_append(at["out"], top / bottom)
+        return F.struct(top.alias("top"), bottom.alias("bottom"), out.alias("out"))
 
-def _month_average(value: Column, span: float, n_blocks: int, window: WindowSpec) -> Column:
-    """Moving average along the months of a dense series."""
-    q = decay(span)
-    if n_blocks > _longest(q):
-        raise ValueError(f"span {span} covers at most {_longest(q)} months, got {n_blocks}")
-    grow = _lookup([q**-t for t in range(n_blocks)])
-    shrink = _lookup([q**t * (1 - q) / (1 - q ** (t + 1)) for t in range(n_blocks)])
-    return F.sum(value * grow).over(window) * shrink
+    return F.aggregate(values, start, step, lambda at: at["out"])
 
 
-def _published(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The value of month m is a feature of month m + 1."""
-    return df.select(
-        *PAIR,
-        *[F.col(name).alias(f"cnt_{name}_prev") for name in names],
-        (F.col(BLOCK) + 1).alias(BLOCK),
-    )
+def _difference(left: str, right: str) -> Column:
+    return F.zip_with(left, right, lambda a, b: a - b)
 
 
-def _dense(series: DataFrame, panel: Panel, *carry: Column | str) -> DataFrame:
-    block = F.col(BLOCK)
-    return with_blocks(series, 0, panel.n_blocks - 1).select(
-        BLOCK, *PAIR, panel.count(block).alias("_x"), *carry
+def _published(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Arrays by month as rows; the value of month m is a feature of month m + 1."""
+    months = df.select(*PAIR, F.posexplode(F.arrays_zip(*names)).alias("_month", "_at"))
+    return months.select(
+        *PAIR,
+        *[F.col("_at")[name].alias(f"cnt_{name}_prev") for name in names],
+        (F.col("_month") + 1).alias(BLOCK),
     )
 
 
@@ -78,17 +78,13 @@ def trend(
     panel: Panel, spans: Sequence[float] = EMA_SPANS, signal_span: float | None = SIGNAL_SPAN
 ) -> DataFrame:
     """Averages, MACD and, unless ``signal_span`` is None, its signal along the months."""
-    months = _so_far(*PAIR, order=BLOCK)
-    averages = {
-        name: _month_average(F.col("_x"), span, panel.n_blocks, months)
-        for name, span in zip(("ema_s", "ema_m", "ema_l"), spans, strict=True)
-    }
-    df = _dense(panel.partitioned(), panel).withColumns(averages)
-    df = df.withColumn("macd", F.col("ema_s") - F.col("ema_l"))
-    names = [*averages, "macd"]
+    names = ["ema_s", "ema_m", "ema_l", "macd"]
+    df = panel.series.select(*PAIR, panel.months().alias("_x")).withColumns(
+        {name: averages(F.col("_x"), span) for name, span in zip(names, spans, strict=False)}
+    )
+    df = df.withColumn("macd", _difference("ema_s", "ema_l"))
     if signal_span is not None:
-        signal = _month_average(F.col("macd"), signal_span, panel.n_blocks, months)
-        df = df.withColumn("sig", signal)
+        df = df.withColumn("sig", averages(F.col("macd"), signal_span))
         names.append("sig")
     return _published(df, names)
 
@@ -190,36 +186,23 @@ def trend_pair_signal(
         .withColumn("_own", F.array(*own))
         .withColumn("_shrink", power(F.col("_off")) / bottom)
     )
-    month = F.col(BLOCK)
-    earlier = F.coalesce(F.try_element_at("_carried", month), F.lit(0.0))
-    df = with_blocks(sliced, 0, panel.n_blocks - 1).select(
-        BLOCK,
-        *PAIR,
-        "_slice",
-        F.get("_x", month).alias("_x"),
-        ((F.get("_own", month) + earlier * F.lit(q)) * F.col("_shrink")).alias("_y"),
-    )
+    months = F.sequence(F.lit(0), F.lit(panel.n_blocks - 1))
+
+    def signal_input(month: Column) -> Column:
+        earlier = F.coalesce(F.try_element_at("_carried", month), F.lit(0.0))
+        return (F.get("_own", month) + earlier * F.lit(q)) * F.col("_shrink")
 
-    # Clustered by slice already and in pair order, so this window moves no rows.
-    months = _so_far("_slice", *PAIR, order=BLOCK)
     short, middle, long = spans
-    wanted = {
-        "ema_s": ("_x", short),
-        "ema_m": ("_x", middle),
-        "ema_l": ("_x", long),
-        "_sig_s": ("_y", short),
-        "_sig_l": ("_y", long),
-    }
-    df = df.withColumns(
+    df = sliced.select(*PAIR, "_x", F.transform(months, signal_input).alias("_y")).withColumns(
         {
-            name: _month_average(F.col(value), span, panel.n_blocks, months)
-            for name, (value, span) in wanted.items()
+            "ema_s": averages(F.col("_x"), short),
+            "ema_m": averages(F.col("_x"), middle),
+            "ema_l": averages(F.col("_x"), long),
+            "_sig_s": averages(F.col("_y"), short),
+            "_sig_l": averages(F.col("_y"), long),
         }
     )
     df = df.withColumns(
-        {
-            "macd": F.col("ema_s") - F.col("ema_l"),
-            "sig": F.col("_sig_s") - F.col("_sig_l"),
-        }
+        {"macd": _difference("ema_s", "ema_l"), "sig": _difference("_sig_s", "_sig_l")}
     )
     return _published(df, ["ema_s", "ema_m", "ema_l", "macd", "sig"])

@@ -36,6 +36,12 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
+def _codes_as_doubles(df: DataFrame) -> DataFrame:
+    """Codes of items, which may be NULL, as doubles."""
+    codes = [name for name in ("item_category_id", "item_group") if name in df.columns]
+    return df.withColumns({name: F.col(name).cast("double") for name in codes})
+
+
 def _targets(spark: SparkSession, folder: str) -> Targets:
     return panels.load_targets(source.read_targets(spark, folder))
 
@@ -45,6 +51,12 @@ def _panel(spark: SparkSession, folder: str, targets: Targets, measures=COUNTS)
     return panels.build_panel(sales, targets, N_BLOCKS, measures)
 
 
+def _kept_sales(sales: DataFrame, targets: Targets) -> DataFrame:
+    """Sales of target shops and items without repeats."""
+    kept = clean.keep_known(sales, targets.items, "item_id")
+    return clean.drop_repeats(clean.keep_known(kept, targets.shops, "shop_id"))
+
+
 def _items(spark: SparkSession, folder: str) -> DataFrame:
     item_cats = source.read_item_cats(spark, folder)
     return encode.encode_items(source.read_items(spark, folder, item_cats), item_cats)
@@ -80,7 +92,7 @@ def scan_targets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_items(spark: SparkSession, folder: str) -> DataFrame:
-    return _through_csv(source.read_items(spark, folder), csv.ITEMS)
+    return _codes_as_doubles(_through_csv(source.read_items(spark, folder), csv.ITEMS))
 
 
 def scan_item_cats(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,9 +109,7 @@ def scan_shops(spark: SparkSession, folder: str) -> DataFrame:
 def table_shapes(spark: SparkSession, folder: str) -> DataFrame:
     sales = source.read_sales(spark, folder)
     targets = _targets(spark, folder)
-    kept = clean.drop_repeats(sales)
-    kept = clean.keep_known(kept, targets.items, "item_id")
-    kept = clean.keep_known(kept, targets.shops, "shop_id")
+    kept = _kept_sales(sales, targets)
     return profile.shapes(
         {
             "sales": sales.drop("ord"),
@@ -144,9 +154,7 @@ def distinct_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def semi_filter(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
-    kept = clean.drop_repeats(source.read_sales(spark, folder))
-    kept = clean.keep_known(kept, targets.items, "item_id")
-    return rounded(clean.keep_known(kept, targets.shops, "shop_id"))
+    return rounded(_kept_sales(source.read_sales(spark, folder), targets))
 
 
 # The dense panel
@@ -192,7 +200,7 @@ def label_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def items_with_group(spark: SparkSession, folder: str) -> DataFrame:
-    return _items(spark, folder)
+    return _codes_as_doubles(_items(spark, folder))
 
 
 def item_group_onehot(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,7 +211,7 @@ def item_group_onehot(spark: SparkSession, folder: str) -> DataFrame:
 def join_item_group(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
     panel = _panel(spark, folder, targets)
-    return panels.monthly_with_items(panel, _items(spark, folder))
+    return _codes_as_doubles(panels.monthly_with_items(panel, _items(spark, folder)))
 
 
 # Statistics
@@ -339,6 +347,36 @@ def impute_price(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(impute.impute_price(targets.pairs, price, _items(spark, folder)))
 
 
+def impute_price_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Which pairs get a predicted price, and whether it is one that training rows can give."""
+    targets = _targets(spark, folder)
+    price = _stored_price(spark, folder, targets)
+    predicted = impute.impute_price(targets.pairs, price, _items(spark, folder))
+    means = price.groupBy(*PAIR).agg(F.round(F.avg("item_price"), DIGITS).alias("mean"))
+    # One row.
+    bounds = means.agg(F.min("mean").alias("low"), F.max("mean").alias("high")).first()
+    at = F.col("item_price")
+    return predicted.select(
+        *PAIR,
+        at.isNotNull().alias("is_priced"),
+        at.between(bounds["low"], bounds["high"]).alias("in_training_range"),
+    )
+
+
+def test_price_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Target prices and discounts, without the value of the predicted prices."""
+    targets = _targets(spark, folder)
+    price = _stored_price(spark, folder, targets)
+    wanted = impute.target_price(targets.pairs, price, _items(spark, folder))
+    made = prices.target_price_discount(wanted, price)
+    known = prices.last_price(price).select(*PAIR, F.lit(True).alias("is_known"))
+    made = made.join(known, PAIR, "left").withColumn(
+        "is_known", F.coalesce("is_known", F.lit(False))
+    )
+    shown = F.when(F.col("is_known"), F.col("item_price")).alias("item_price")
+    return rounded(made.select(*PAIR, "is_known", shown, "discount_rate"))
+
+
 def test_price(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
     price = _stored_price(spark, folder, targets)
@@ -403,6 +441,8 @@ QUERIES: dict[str, Query] = {
         train_price_discount,
         known_price_discount,
         impute_price,
+        impute_price_check,
+        test_price_check,
         test_price,
         test_price_discount,
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,8 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _local_dir(context.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _local_dir(application: str) -> str:
+    """A folder of this process for a local session, gone when the process ends."""
     folder = tempfile.mkdtemp(prefix="panelforge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 

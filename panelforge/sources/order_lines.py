@@ -20,11 +20,17 @@ FIRST_YEAR = 1995
 FORECAST_DAY = date(2001, 11, 1)
 FORECAST_BLOCK = 82
 NEW_SIZE = 50
-REPORT_STEP = 1e9
+# Brand whose items have no category.
+UNCLASSIFIED = "Brand#13"
+# Discount and tax of the lines that are gifts, with the price 0.
+GIFT = (0.1, 0.08)
+# A second report costs this plus the tax rate, from cheaper to dearer than the first.
+SECOND_PRICE = 0.96
 SCHEMAS = {
     "lineitem": (
-        "l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
-        "l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+        "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+        "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
     ),
     "supplier": "s_suppkey BIGINT, s_nationkey INT",
     "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT",
@@ -37,23 +43,22 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, folder: str, forecast: bool) -> DataFrame:
-    """Order lines of the forecast month, or before it, with shop, item and month.
+def _lines(spark: SparkSession, folder: str, where: Column | None = None) -> DataFrame:
+    """Order lines with shop, item and month; ``where`` compares columns as they are stored.
 
-    A returned line counts negative. The day is compared as stored, so the filter reaches
-    the Parquet scan.
+    A returned line counts negative.
     """
     lines = _table(spark, folder, "lineitem")
-    cut = F.lit(FORECAST_DAY)
-    lines = lines.where(
-        F.col("l_shipdate") >= cut if forecast else F.col("l_shipdate") < cut
-    )
+    if where is not None:
+        lines = lines.where(where)
     suppliers = _table(spark, folder, "supplier")
     shops = suppliers.select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("shop_id")
     )
     month = (F.year("l_shipdate") - FIRST_YEAR) * 12 + F.month("l_shipdate") - 1
     returned = F.col("l_returnflag") == "R"
+    gift = (F.col("l_discount") == GIFT[0]) & (F.col("l_tax") == GIFT[1])
+    price = F.col("l_extendedprice") / F.col("l_quantity")
     return lines.join(shops, "l_suppkey").select(
         F.col("l_shipdate").cast("date").alias("date"),
         month.cast("int").alias("date_block_num"),
@@ -62,7 +67,9 @@ def _lines(spark: SparkSession, folder: str, forecast: bool) -> DataFrame:
         F.when(returned, -F.col("l_quantity"))
         .otherwise(F.col("l_quantity"))
         .alias("item_cnt_day"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("item_price"),
+        F.when(gift, F.lit(0.0)).otherwise(price).alias("item_price"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"),
+        "l_shipdate",
         "l_returnflag",
         "l_linestatus",
         "l_tax",
@@ -75,18 +82,21 @@ def _new_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_sales(spark: SparkSession, folder: str) -> DataFrame:
-    """Sales; accepted and finished lines are reported a second time, with tax in the price.
+    """Sales; accepted and finished lines are reported a second time, at another price.
 
-    ``ord`` puts all first reports before the second ones and cheaper rows first.
+    ``ord`` puts all first reports before the second ones and rows in the order of their
+    lines; the price in cents only tells rows of one line apart.
     """
-    history = _lines(spark, folder, forecast=False).join(
+    history = _lines(spark, folder, F.col("l_shipdate") < F.lit(FORECAST_DAY)).join(
         _new_items(spark, folder), "item_id", "left_anti"
     )
     twice = (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")
     reports = F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     price = F.when(
-        F.col("_report") == 1, F.col("item_price") * (F.lit(1.0) + F.col("l_tax"))
+        F.col("_report") == 1, F.col("item_price") * (F.lit(SECOND_PRICE) + F.col("l_tax"))
     ).otherwise(F.col("item_price"))
+    line = F.col("_report").cast("long") * 10**12 + F.col("line")
+    cents = F.round(F.col("item_price") * 100).cast("long")
     return (
         history.withColumn("_report", F.explode(reports))
         .withColumn("item_price", price)
@@ -97,20 +107,17 @@ def read_sales(spark: SparkSession, folder: str) -> DataFrame:
             "item_id",
             "item_price",
             "item_cnt_day",
-            (F.col("_report") * REPORT_STEP + F.col("item_price")).alias("ord"),
+            (line * 10**6 + cents).alias("ord"),
         )
     )
 
 
 def read_targets(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct (shop, item) pairs of the forecast month and of pre-orders."""
-    due = _lines(spark, folder, forecast=True).select("shop_id", "item_id")
-    ordered = (
-        _lines(spark, folder, forecast=False)
-        .join(_new_items(spark, folder), "item_id", "left_semi")
-        .select("shop_id", "item_id")
-    )
-    pairs = due.unionByName(ordered).distinct()
+    new = _new_items(spark, folder).withColumn("_new", F.lit(True))
+    wanted = (F.col("l_shipdate") >= F.lit(FORECAST_DAY)) | F.col("_new")
+    lines = _lines(spark, folder).join(new, "item_id", "left").where(wanted)
+    pairs = lines.select("shop_id", "item_id").distinct()
     # Fewer than 1,000 shops, so the key numbers the pairs.
     return pairs.select(
         (F.col("item_id") * 1000 + F.col("shop_id")).alias("ID"), "shop_id", "item_id"
@@ -129,10 +136,14 @@ def read_items(
 ) -> DataFrame:
     item_cats = read_item_cats(spark, folder) if item_cats is None else item_cats
     parts = _table(spark, folder, "part").select(
-        F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name"), _category_name()
+        F.col("p_partkey").alias("item_id"),
+        F.col("p_name").alias("item_name"),
+        "p_brand",
+        _category_name(),
     )
+    category = F.when(F.col("p_brand") != UNCLASSIFIED, F.col("item_category_id"))
     return parts.join(item_cats, "item_category_name").select(
-        "item_name", "item_id", "item_category_id"
+        "item_name", "item_id", category.alias("item_category_id")
     )
 
 

@@ -134,3 +134,35 @@ def test_all_features_from_csv(spark, tmp_path):
     assert {n: df.count() for n, df in summaries.items() if n.startswith("head_")} == {
         f"head_{n}": min(5, rows[n]) for n in tables
     }
+
+
+def test_missing_markers(spark, tmp_path):
+    """Words for a missing value are NULL, in numbers and texts, never NaN."""
+    words = ["NaN", "NA", "null", "N/A", "", "nan", "None"]
+    path = tmp_path / "t.csv"
+    lines = [f"02.01.2013,0,1,{k},{w},{w}" for k, w in enumerate(words)]
+    lines.append("2.1.2013,0,1,99,5.0,1.0")
+    header = "date,date_block_num,shop_id,item_id,item_price,item_cnt_day"
+    path.write_text("\n".join([header, *lines]) + "\n")
+    rows = {r["item_id"]: r for r in csv.read_sales(spark, str(path)).collect()}
+    for k in range(len(words)):
+        assert rows[k]["item_price"] is None and rows[k]["item_cnt_day"] is None
+    assert (rows[99]["item_price"], rows[99]["item_cnt_day"]) == (5.0, 1.0)
+    path.write_text("item_category_name,item_category_id\nNA,1\nname NA,2\n")
+    cats = csv.read_table(spark, str(path), csv.ITEM_CATS).collect()
+    assert [r["item_category_name"] for r in cats] == [None, "name NA"]
+    path.write_text("ID,shop_id,item_id\n1,NA,5\n")
+    with pytest.raises(Exception, match="missing shop_id"):
+        csv.read_table(spark, str(path), csv.TARGETS).collect()
+
+
+def test_a_missing_count_is_a_sale_of_nothing(spark, tmp_path):
+    from panelforge.operators import panel
+
+    path = tmp_path / "t.csv"
+    header = "date,date_block_num,shop_id,item_id,item_price,item_cnt_day"
+    path.write_text(f"{header}\n02.01.2013,0,1,1,NaN,NaN\n03.01.2013,0,1,1,5.0,1.0\n")
+    targets = spark.createDataFrame([(0, 1, 1)], "ID long, shop_id long, item_id long")
+    built = panel.build_panel(csv.read_sales(spark, str(path)), panel.load_targets(targets), 1)
+    assert [r["item_cnt"] for r in panel.monthly(built).collect()] == [1.0]
+    assert [r["item_price"] for r in panel.mean_price(built).collect()] == [5.0]

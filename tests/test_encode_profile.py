@@ -9,7 +9,7 @@ from panelforge.functions.columns import discount_rate
 from panelforge.operators import encode, ordering, profile
 from small import by_key
 
-LIMITS = [{}, {"local_rows": 0, "rows_per_slice": 7}]
+LIMITS = [{}, {"rows_per_slice": 7}]
 
 
 @pytest.mark.parametrize("limits", LIMITS)
@@ -51,9 +51,13 @@ def test_one_hot_drops_the_first(spark):
     assert got[("c",)] == {"w": "c", "g_b": 0, "g_c": 1}
 
 
-def test_too_many_columns_is_an_error(spark):
-    with pytest.raises(ValueError):
-        encode.distinct_values(spark.range(20), "id", limit=19)
+def test_label_columns_have_no_limit(spark):
+    assert encode.distinct_values(spark.range(12_000), "id") == list(range(12_000))
+
+
+def test_one_hot_with_labels_given(spark):
+    df = spark.createDataFrame([("b",), ("a",)], "w string")
+    assert encode.one_hot(df, F.col("w"), "g", ["c", "b", "a"]).columns == ["w", "g_b", "g_c"]
 
 
 @pytest.mark.parametrize("limits", LIMITS)
@@ -79,8 +83,14 @@ def test_describe_matches_pandas(spark, limits):
             assert got[(column,)][mine] == pytest.approx(wanted.loc[theirs, column])
 
 
-def test_describe_of_nothing(spark):
-    assert profile.describe(spark.range(0), "id").count() == 0
+def test_describe_keeps_a_column_without_values(spark):
+    none = F.lit(None).cast("double").alias("none")
+    for df in (spark.range(0).select("id", none), spark.range(3).select("id", none)):
+        got = by_key(profile.describe(df, "id", "none"), "column")
+        assert set(got) == {("id",), ("none",)}
+        row = got[("none",)]
+        assert row.pop("count") == 0
+        assert set(row.pop("column")) == set("none") and set(row.values()) == {None}
 
 
 def test_largest_and_shapes(spark):

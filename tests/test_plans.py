@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.operators import lags, panel, stats, trend
 from panelforge.plans import catalog
@@ -38,16 +39,17 @@ def above(plan: str, operator: str) -> str:
 )
 def test_dense_rows_are_not_shuffled(built, make):
     plan = plan_of(make(*built))
-    assert "Generate explode" in plan
-    assert "Exchange" not in above(plan, "Generate explode")
+    months = "Generate posexplode" if "posexplode" in plan else "Generate explode"
+    assert months in plan
+    assert "Exchange" not in above(plan, months)
+    assert "Sort" not in above(plan, months)
 
 
 def test_stored_panel_shuffles_pairs_not_months(spark, built):
     sales = order_lines.read_sales(spark, FOLDER)
     stored = panel.build_panel(sales, built[1], 82, panel.COUNTS, store=True)
     plan = plan_of(trend.trend(stored))
-    assert "Exchange" not in above(plan, "Generate explode")
-    assert "Exchange hashpartitioning(shop_id" in plan
+    assert "Exchange" not in plan and "Sort" not in plan
 
 
 def test_no_nested_loops(built):
@@ -76,8 +78,8 @@ def test_key_filters_run_before_the_aggregation(built):
     assert plan.index("LeftSemi") > plan.rindex("Exchange hashpartitioning")
 
 
-def test_long_key_lists_join_aggregated_rows(spark, built):
-    """Without broadcasts the semi joins come after the aggregation."""
+def test_long_key_lists_filter_before_the_shuffle_by_all_keys(spark, built):
+    """Without broadcasts too, only the sales that stay are shuffled by the five keys."""
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -88,7 +90,7 @@ def test_long_key_lists_join_aggregated_rows(spark, built):
         rows = cells.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
-    assert plan.index("LeftSemi") < plan.index("HashAggregate")
+    assert plan.rindex("HashAggregate") < plan.index("LeftSemi")
     assert rows == built[0].cells.count()
 
 
@@ -110,3 +112,35 @@ def test_no_python_in_any_plan(spark):
     for name in ("monthly", "trend_signal_pair", "describe_cnt", "train_price_discount"):
         plan = plan_of(catalog.QUERIES[name](spark, FOLDER))
         assert "Python" not in plan and "Pandas" not in plan
+
+
+def rows_by_partition(df) -> list[int]:
+    counted = df.groupBy(F.spark_partition_id()).count().collect()
+    return [row["count"] for row in counted]
+
+
+def test_dense_rows_are_spread(spark):
+    """Many tasks of about the same size, under the default broadcast threshold."""
+    pairs = spark.range(3000).select(
+        F.col("id").alias("ID"), (F.col("id") % 25).alias("shop_id"), F.col("id").alias("item_id")
+    )
+    grid = panel.dense_grid(panel.load_targets(pairs), 12)
+    rows = rows_by_partition(grid)
+    assert sum(rows) == 12 * 25 * 3000
+    assert len(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(rows) < 2.5 * sum(rows) / len(rows)
+
+
+def test_repeats_are_not_broadcast(spark):
+    """10,000 shops under 20,000 partitions are far more rows than Spark's estimate says."""
+    shops, items = spark.range(10_000).toDF("shop_id"), spark.range(10_000).toDF("item_id")
+    plan = plan_of(panel.product(items, shops, 10_000, 10_000, 20_000))
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (1, 50), (50, 1), (7, 300), (300, 7)])
+def test_products_are_whole(spark, sizes):
+    left, right = spark.range(sizes[0]).toDF("a"), spark.range(sizes[1]).toDF("b")
+    for tasks in (1, 5):
+        made = panel.product(left, right, *sizes, tasks)
+        assert made.count() == made.distinct().count() == sizes[0] * sizes[1]

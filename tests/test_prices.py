@@ -75,3 +75,30 @@ def test_no_unpriced_item(spark, priced):
     known = targets.where("item_id != 12")
     got = impute.target_price(known, price, _items(spark))
     assert got.count() == 3
+
+
+def test_items_without_a_category_get_a_price(spark, priced):
+    items = spark.createDataFrame(
+        [(10, 0, 0), (11, None, None), (12, None, None)],
+        "item_id long, item_category_id long, item_group int",
+    )
+    got = by_key(impute.impute_price(priced[1], priced[0], items), *PAIR)
+    assert set(got) == {(1, 12), (2, 12)}
+    assert all(0 <= row["item_price"] <= 12 for row in got.values())
+
+
+def test_the_model_does_not_follow_the_partitions(spark):
+    """Equal predictions however the rows come, as from another cluster."""
+    rows = [(m % 6, s, i, 1, 1.0 + (s * 7 + i * 13 + m) % 50) for m, s, i in TRIPLES]
+    pairs = [(s, i) for s in range(8) for i in range(40, 50)]
+    panel, targets = small_panel(spark, rows, pairs + [(s, i) for _, s, i in TRIPLES], 6)
+    price = prices.priced_rows(panel.cells)
+    found = [
+        by_key(impute.impute_price(targets.pairs, price.repartition(n), _items(spark, range(50))), *PAIR)
+        for n in (1, 7)
+    ]
+    assert len(found[0]) == len(pairs)
+    assert found[0] == found[1]
+
+
+TRIPLES = [(m, s, i) for m in range(3) for s in range(8) for i in range(40) if (m + s * i) % 3]

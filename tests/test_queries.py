@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 import compare
+from oracle.sql import ORACLES
+from panelforge.plans.catalog import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 ROWS_ONLY = {"impute_price", "test_price", "test_price_discount"}
@@ -17,11 +19,13 @@ def duck():
 
 
 def test_only_model_queries_lack_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
     got = contract.queries()[name](spark, FOLDER).toPandas()
     wanted = duck.execute(contract.oracle_sql()[name]).df()

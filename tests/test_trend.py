@@ -74,9 +74,13 @@ def test_constant_series_stays_constant(spark):
         assert row["cnt_macd_prev"] == pytest.approx(0, abs=1e-12)
 
 
-def test_too_many_months_for_a_span_is_an_error(filled):
-    with pytest.raises(ValueError):
-        trend.trend(replace(filled[0], n_blocks=2000))
+def test_any_number_of_months(filled, series):
+    """Far beyond the reach of the weights of one running sum."""
+    got = by_key(trend.trend(replace(filled[0], n_blocks=2000)), *KEY)
+    for (shop, item), values in series.items():
+        wanted = recurrence(values + [0.0] * (2000 - N), 4)
+        mine = [got[(shop, item, m + 1)]["cnt_ema_s_prev"] for m in range(2000)]
+        assert mine == pytest.approx(wanted, abs=1e-12)
 
 
 @pytest.mark.parametrize("signal_span", [9, 200, 1.5])
@@ -96,9 +100,9 @@ def test_down_the_pairs(filled, series, signal_span, max_slice):
 
 
 def test_down_the_pairs_with_ranked_ranges(filled):
-    """The same when the key lists are too long for one task."""
+    """The same in any number of ranges of the key lists."""
     few = trend.trend_pair_signal(*filled, max_slice=4)
-    many = trend.trend_pair_signal(*filled, max_slice=4, local_rows=0, rows_per_slice=5)
+    many = trend.trend_pair_signal(*filled, max_slice=4, rows_per_slice=1)
     a, b = by_key(few, *KEY), by_key(many, *KEY)
     assert a.keys() == b.keys()
     for key in a:
