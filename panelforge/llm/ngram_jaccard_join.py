@@ -565,3 +565,36 @@ def keep_one(docs: DataFrame, size: int = SIZE) -> DataFrame:
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+# Every pair with a common shingle, then all that links reach.
+ORACLE = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), runs AS (
+  SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS k
+  FROM docs WHERE len(words) > 0
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(words[k:k + 4], ' ') AS shingle FROM runs
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM docs
+  UNION
+  SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM least LEFT JOIN sizes USING (doc_id)
+"""

@@ -225,3 +225,40 @@ def score(docs: DataFrame) -> DataFrame:
                 )
 
     return id_and_text(docs).mapInArrow(scored, out)
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+ORACLE = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS words
+  FROM documents
+), windows AS (
+  SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, run) AS n
+  FROM (
+    SELECT doc_id, k, array_to_string(words[k:k + 2], ' ') AS run
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS k FROM docs))
+), covered AS (
+  SELECT doc_id, count(DISTINCT k + j) AS n FROM windows, (VALUES (0), (1), (2)) AS t(j)
+  WHERE n > 1 GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '{_WORD}') GROUP BY doc_id
+), counted AS (
+  SELECT d.doc_id, len(words) AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper,
+    length(regexp_replace(text, '[^a-z]', '', 'g')) AS lower
+  FROM docs d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * upper > 40 * (upper + lower)
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR n_dup_lines > n_words // 10
+  ) AS kept
+FROM judged
+"""

@@ -80,6 +80,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_jaccard_join.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_chat_formatting": chat_formatting.ORACLE,
+    "op8_quality_rules": quality_rules.ORACLE,
 }
