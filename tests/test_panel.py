@@ -55,7 +55,7 @@ def test_grid_check(small):
 
 def test_product_is_whole(spark):
     left, right = spark.range(57).toDF("a"), spark.range(13).toDF("b")
-    pairs = panel.product(left, right, buckets=7)
+    pairs = panel.product(left, right, 57, 13, tasks=7)
     assert pairs.count() == pairs.distinct().count() == 57 * 13
 
 
