@@ -17,9 +17,8 @@ gives no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import spans
 from panelforge.llm.tables import id_and_text, schema, vocabulary
-from panelforge.llm.word_bpe import KEPT, Known, loaded
+from panelforge.llm.word_bpe import ID, WordBpe, loaded
 from panelforge.session import materialize
 
 LENGTH = 4096
@@ -36,6 +35,8 @@ END_ID = 1
 # Pieces in a partition; one task packs a partition.
 ROWS_PER_PARTITION = 50_000
 ROUNDS = 4
+# Words whose ids a worker remembers.
+KNOWN_WORDS = 1 << 21
 # Largest parameter of the rounding dual feasible functions.
 MAX_K = 64
 
@@ -48,18 +49,75 @@ PIECE = {
 }
 
 
+class KnownIds:
+    """Token ids of the words met so far, in arrays: about 40 bytes a word.
+
+    A word is known by its 64-bit hash together with its first eight bytes and its length.
+    Beyond ``limit`` words the memory begins anew.
+    """
+
+    def __init__(self, bpe: WordBpe, limit: int = KNOWN_WORDS):
+        self._bpe, self._limit = bpe, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self._hash, self._check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self._start, self._n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self._ids = np.empty(0, ID)
+
+    def of(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple:
+        """All ids, and where those of each span begin in them and how many they are.
+
+        The spans are distinct and come by ascending hash.
+        """
+        check = spans.first_bytes(data, begin, end) ^ spans.mixed((end - begin).astype(np.uint64))
+        at = np.searchsorted(self._hash, h)
+        here = np.minimum(at, max(0, len(self._hash) - 1))
+        if len(self._hash):
+            known = (self._hash[here] == h) & (self._check[here] == check)
+        else:
+            known = np.zeros(len(h), bool)
+        start, n = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        start[known], n[known] = self._start[here[known]], self._n[here[known]]
+        new = np.flatnonzero(~known)
+        text = data.tobytes()
+        ends = zip(begin[new].tolist(), end[new].tolist(), strict=True)
+        made = self._bpe.encode_pieces([text[a:b] for a, b in ends])
+        n[new] = np.fromiter(map(len, made), np.int64, len(made)) // ID.itemsize
+        start[new] = len(self._ids) + np.cumsum(n[new]) - n[new]
+        ids = np.concatenate([self._ids, np.frombuffer(b"".join(made), ID)])
+        if len(self._hash) + len(new) > self._limit:
+            self._clear()
+        else:
+            self._ids = ids
+            for name, values in (
+                ("_hash", h), ("_check", check), ("_start", start), ("_n", n)
+            ):
+                setattr(self, name, np.insert(getattr(self, name), at[new], values[new]))
+        return ids, start, n
+
+
 @lru_cache(maxsize=1)
-def known_ids(path: str) -> Known:
-    """Per piece of text: its ids as little-endian unsigned 32-bit numbers."""
-    bpe = loaded(path)
+def known_ids(path: str) -> KnownIds:
+    """What a worker knows of a vocabulary file."""
+    return KnownIds(loaded(path))
 
-    def make(words: list[bytes]) -> Iterable[bytes]:
-        found = bpe.encode_pieces(words)
-        flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-        ends = np.cumsum([0, *map(len, found)]) * 4
-        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-    return Known(make, KEPT)
+def encoded(
+    data: np.ndarray, bounds: np.ndarray, known: KnownIds
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows one after another, and where each row begins in them.
+
+    Every distinct word of the rows is looked up once; the ids are then gathered by word.
+    """
+    words = spans.find_words(data, bounds)
+    h = spans.hash_spans(data, words.begin, words.end)
+    kinds, first, kind = np.unique(h, return_index=True, return_inverse=True)
+    ids, start, n = known.of(data, words.begin[first], words.end[first], kinds)
+    start, n = start[kind], n[kind]
+    after = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(start - after[:-1], n) + np.arange(after[-1])
+    return ids[at], after[np.append(words.first, len(h))]
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
@@ -72,12 +130,10 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
         for batch in batches:
             for part in spans.pieces(batch):
                 data, bounds = spans.text_bytes(part.column("text"))
-                text, bounds = data.tobytes(), bounds.tolist()
-                split = [text[a:b].split() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                known.learn(chain.from_iterable(split))
-                rows = []
-                for doc_id, words in zip(part.column("doc_id").to_pylist(), split, strict=True):
-                    ids = memoryview(b"".join([known[word] for word in words]) + end)
+                all_ids, ends = encoded(data, bounds, known)
+                doc_ids, ends, rows = part.column("doc_id").to_pylist(), ends.tolist(), []
+                for doc_id, a, b in zip(doc_ids, ends[:-1], ends[1:], strict=True):
+                    ids = memoryview(all_ids[a:b].tobytes() + end)
                     for k, start in enumerate(range(0, len(ids), 4 * length)):
                         own = ids[start : start + 4 * length]
                         rows.append((doc_id, k, start // 4, len(own) // 4, zlib.crc32(own)))

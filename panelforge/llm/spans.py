@@ -74,6 +74,15 @@ def text_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return data, bounds - bounds[0]
 
 
+def split_rows(text: bytes, bounds: np.ndarray) -> tuple[list[bytes], list[int]]:
+    """The words of all rows in one list, and where in it each row begins and ends."""
+    bounds, words, ends = bounds.tolist(), [], [0]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        words += text[a:b].split()
+        ends.append(len(words))
+    return words, ends
+
+
 def find_words(data: np.ndarray, bounds: np.ndarray) -> Words:
     """Spans of the words of each row."""
     size = int(bounds[-1])
@@ -100,6 +109,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def first_bytes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first eight bytes of byte spans as one number."""
+    view = np.ndarray((len(data) - 7,), np.dtype("<u8"), data.data, strides=(1,))
+    return view[begin] & _MASKS[np.minimum(end - begin, 8)]
+
+
 def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans, eight bytes at a time over all spans together."""
     view = np.ndarray((len(data) - 7,), np.dtype("<u8"), data.data, strides=(1,))

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 WORD_BPE = "word_bpe_49k.json"
+# Rows of long texts that go to Python at a time; Spark's default is for short rows.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = "1000", "10000"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +34,19 @@ def vocabulary(path: str | None = None) -> str:
     return public_tokenizers.path(WORD_BPE)
 
 
+def bounded_batches(docs: DataFrame) -> None:
+    """Have the session send fewer rows to Python at a time, unless its owner set a number.
+
+    Spark reads this when a query runs, so it has to stay set; it changes no result.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if conf.get(key) == DEFAULT_BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """The two columns that the document operators read."""
+    bounded_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
 
 

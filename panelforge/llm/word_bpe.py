@@ -22,7 +22,6 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +33,12 @@ from panelforge.llm.tables import id_and_text, schema, vocabulary
 
 # Parts of a word up to which scanning for the lowest rank is used.
 SHORT = 64
-# Pieces of text that a worker keeps in each of its two generations.
-KEPT = 1 << 19
+# Pieces of text that a worker keeps in each of its two generations, at about 200 bytes each.
+KEPT = 1 << 18
 WORD_END = "</w>"
 NO_RANK = 1 << 30
+# How ids are packed: little-endian unsigned 32-bit numbers.
+ID = np.dtype("<u4")
 
 
 def byte_letters() -> list[str]:
@@ -60,16 +61,25 @@ class Known(dict):
         super().__init__()
         self._make, self._limit, self._older = make, limit, {}
 
-    def learn(self, keys: Iterable) -> None:
-        """Have all of ``keys``."""
+    def values_of(self, keys: list) -> list:
+        """The values of ``keys``, in order; what is not known is made in one go."""
         if len(self) > self._limit:
             self._older = dict(self)
             self.clear()
-        new = set(keys).difference(self)
-        older = {key: self._older[key] for key in new.intersection(self._older)}
+        values = list(map(self.get, keys))
+        gaps = [i for i, value in enumerate(values) if value is None]
+        new = {keys[i] for i in gaps}
+        older = {key: self._older[key] for key in new if key in self._older}
         self.update(older)
         rest = list(new.difference(older))
         self.update(zip(rest, self._make(rest), strict=True))
+        for i in gaps:
+            values[i] = self[keys[i]]
+        return values
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, ID).tolist()
 
 
 class WordBpe:
@@ -99,7 +109,7 @@ class WordBpe:
         self._words = regex.compile(split)
         self._words_and_ends = regex.compile(split + r"|\n")
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self._known = Known(self._encode_words, KEPT // 2)
+        self._known = Known(self._encode_words, KEPT // 4)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of parts; ``NO_RANK`` where they do not merge."""
@@ -107,10 +117,10 @@ class WordBpe:
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where(self._keys[at] == key, self._ranks[at], NO_RANK)
 
-    def _encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words as the pattern cuts them."""
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words as the pattern cuts them."""
         raw = [word.encode() for word in words]
-        ids: list[list[int]] = [[]] * len(words)
+        ids = [b""] * len(words)
         by_length = defaultdict(list)
         for i, r in enumerate(raw):
             by_length[len(r)].append(i)
@@ -123,20 +133,25 @@ class WordBpe:
                 self._scan(parts, np.array(group), ids)
             else:
                 for i, row in zip(group, parts.tolist(), strict=True):
-                    ids[i] = self._queue(row)
+                    ids[i] = np.array(self._queue(row), ID).tobytes()
         return ids
 
-    def _scan(self, parts: np.ndarray, group: np.ndarray, ids: list[list[int]]) -> None:
+    def _scan(self, parts: np.ndarray, group: np.ndarray, ids: list[bytes]) -> None:
         """Merge the rows of ``parts``; every row that goes on loses one part per step."""
+
+        def keep(parts: np.ndarray, group: np.ndarray) -> None:
+            packed, width = parts.astype(ID).tobytes(), ID.itemsize * parts.shape[1]
+            for at, k in enumerate(group.tolist()):
+                ids[k] = packed[at * width : (at + 1) * width]
+
         ranks = self._rank(parts[:, :-1], parts[:, 1:])
         while ranks.shape[1]:
             row = np.arange(len(parts))
             i = ranks.argmin(1)
             lowest = ranks[row, i]
-            if (lowest == NO_RANK).any():
-                done = lowest == NO_RANK
-                for k, made in zip(group[done].tolist(), parts[done].tolist(), strict=True):
-                    ids[k] = made
+            done = lowest == NO_RANK
+            if done.any():
+                keep(parts[done], group[done])
                 parts, ranks, group = parts[~done], ranks[~done], group[~done]
                 row, i, lowest = row[: len(group)], i[~done], lowest[~done]
             if not len(group):
@@ -151,8 +166,7 @@ class WordBpe:
             ranks[left, at - 1] = self._rank(parts[left, at - 1], parts[left, at])
             at = i[right]
             ranks[right, at] = self._rank(parts[right, at], parts[right, at + 1])
-        for k, made in zip(group.tolist(), parts.tolist(), strict=True):
-            ids[k] = made
+        keep(parts, group)
 
     def _queue(self, parts: list[int]) -> list[int]:
         """The same for a long word: ranks in a heap, parts in a linked list."""
@@ -188,39 +202,34 @@ class WordBpe:
             text = text.replace("Σ", "σ")
         return text.lower()
 
-    def _encode_special(self, text: str) -> list[int]:
-        """Ids of a text with special tokens, which are cut out before anything else."""
-        ids: list[int] = []
+    def _encode_special(self, text: str) -> bytes:
+        """Packed ids of a text with special tokens, which are cut out before anything else."""
+        ids = []
         for k, part in enumerate(self._specials.split(text)):
             if k % 2:
-                ids.append(self.special[part])
+                ids.append(np.array([self.special[part]], ID).tobytes())
             else:
-                words = self._words.findall(self._normal(part))
-                self._known.learn(words)
-                for word in words:
-                    ids += self._known[word]
-        return ids
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of pieces of text without white space; all plain ones are cut in one go."""
-        ids: list[list[int]] = [[] for _ in pieces]
-        text = [piece.decode() for piece in pieces]
-        special = [i for i, t in enumerate(text) if any(s in t for s in self.special)]
-        for i in special:
-            ids[i], text[i] = self._encode_special(text[i]), ""
-        words = self._words_and_ends.findall(self._normal("\n".join(text)))
-        self._known.learn(word for word in words if word != "\n")
-        at = 0
-        for word in words:
+                ids += self._known.values_of(self._words.findall(self._normal(part)))
+        return b"".join(ids)
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces of text without white space; plain ones are cut in one go."""
+        text = b"\n".join(pieces).decode()
+        if any(special in text for special in self.special):
+            return [self._encode_special(piece) for piece in text.split("\n")]
+        words = self._words_and_ends.findall(self._normal(text))
+        ids, own = [], b""
+        for word, found in zip(words, self._known.values_of(words), strict=True):
             if word == "\n":
-                at += 1
+                ids.append(own)
+                own = b""
             else:
-                ids[at] += self._known[word]
-        return ids
+                own += found
+        return [*ids, own] if pieces else []
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; special tokens in it are single ids."""
-        return [i for ids in self.encode_pieces(text.encode().split()) for i in ids]
+        return unpacked(b"".join(self.encode_pieces(text.encode().split())))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens joined by spaces: the file names no decoder."""
@@ -238,9 +247,13 @@ def known_digits(path: str) -> Known:
     """Per piece of text: its ids in digits and its tokens, both joined by spaces."""
     bpe = loaded(path)
 
+    digits = {i: b"%d" % i for i in bpe.tokens}
+    tokens = {i: token.encode() for i, token in bpe.tokens.items()}
+
     def make(pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        for ids in bpe.encode_pieces(pieces):
-            yield b" ".join([b"%d" % i for i in ids]), bpe.decode(ids).encode()
+        for packed in bpe.encode_pieces(pieces):
+            ids = unpacked(packed)
+            yield b" ".join([digits[i] for i in ids]), b" ".join([tokens[i] for i in ids])
 
     return Known(make, KEPT)
 
@@ -289,12 +302,10 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             for part in spans.pieces(batch):
                 data, bounds = spans.text_bytes(part.column("text"))
                 text = data.tobytes()
-                bounds = bounds.tolist()
-                split = [text[a:b].split() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                known.learn(chain.from_iterable(split))
-                rows = []
-                for words in split:
-                    found = [known[word] for word in words]
+                words, ends = spans.split_rows(text, bounds)
+                values, rows = known.values_of(words), []
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    found = values[a:b]
                     ids = b" ".join([x for x, _ in found if x])
                     tokens = b" ".join([y for x, y in found if x])
                     rows.append(
