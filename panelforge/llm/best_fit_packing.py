@@ -36,7 +36,7 @@ END_ID = 1
 ROWS_PER_PARTITION = 50_000
 ROUNDS = 4
 # Words whose ids a worker remembers.
-KNOWN_WORDS = 1 << 21
+KNOWN_WORDS = 1 << 20
 # Largest parameter of the rounding dual feasible functions.
 MAX_K = 64
 
