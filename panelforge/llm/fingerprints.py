@@ -33,8 +33,9 @@ from panelforge.session import materialize
 
 SAMPLES = 64
 ROWS_PER_RANGE = 200_000
-# Entries of (text, term) pairs, and of terms, that are worked on at a time.
-PAIRS_AT_ONCE, TERMS_AT_ONCE = 1 << 15, 1 << 13
+# Entries of (text, term) pairs, and of terms, that are worked on at a time; few enough that
+# their samples stay in a core's cache.
+PAIRS_AT_ONCE, TERMS_AT_ONCE = 1 << 11, 1 << 9
 
 RESULT = {
     "doc_id": "long",
