@@ -1,25 +1,32 @@
 """Licence families of documents, by a trained classifier of paragraphs.
 
-A paragraph is a line. Its words and word pairs are hashed into a sparse vector that a
-multinomial logistic regression assigns to a licence family or to ``UNKNOWN``. The model is
-trained on variants of the notices below, with words dropped and corpus words around them,
-and on paragraphs of the corpus as the unknown class. On held-out rows a temperature makes
-its probabilities honest, and the probability that a family must reach is the one that few
-enough held-out corpus paragraphs exceed. A prediction counts if the paragraph also holds
-most word pairs of a notice of that family.
+A paragraph is a line. Overlapping windows of about a notice's length run over all of its
+words (``WINDOWS``), so that words far from a notice do not dilute it. The words and word
+pairs of a window are hashed into a sparse vector that a multinomial logistic regression
+assigns to a licence family or to ``UNKNOWN``. The model is trained on variants of the
+notices below, with words dropped and corpus words around them as in windows of longer
+lines, and on lines of the corpus and windows of them as the unknown class. On held-out rows
+a temperature makes its probabilities honest, and the probability that a family must reach
+is the one that the best window of few enough held-out corpus lines exceeds. A prediction
+counts if the window also holds most word pairs of a notice of that family; of overlapping
+ones the most similar counts, then the most probable, then the first.
 
 The training sample is bounded (``CORPUS_LINES`` lines of up to ``LINE_CHARS``
-characters); every paragraph of every document is scored whole.
+characters); every window of every document is scored.
 
-Defined results: a null or empty text has no paragraphs and no family; of several confirmed
-paragraphs the most similar counts, then the most probable, then the first; repeated rows
-are judged alike; rows without an id are judged like others; other columns are not read.
+Defined results: a null or empty text has no paragraphs and no family; a paragraph is
+licensed if a confirmed notice begins in it; of several confirmed notices the most similar
+counts, then the most probable, then the first; repeated rows are judged alike; rows without
+an id are judged like others; other columns are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -91,9 +98,14 @@ CORPUS_LINES, LINE_CHARS = 4_000, 2_000
 SAMPLE_DOCS = 2_000
 # Share of held-out corpus paragraphs that may exceed the threshold of a family.
 FALSE_SHARE = 0.002
-# Share of a notice's word pairs that a confirmed paragraph holds.
+# Share of a notice's word pairs that a confirmed window holds.
 SIMILAR = 0.7
+# Words of a window and from one to the next; runs of up to size - step + 1 words are whole
+# in one of them, wherever they begin.
+WINDOWS = ((4, 1), (8, 2), (12, 2), (16, 2), (24, 4), (32, 4))
 SEED = 10
+# Words whose running sums are held at a time.
+STRETCH = 1 << 16
 
 _PLAIN = spans.LOWER.copy()
 _PLAIN[[b for b in range(128) if not chr(b).isalnum() and b != ord("\n")]] = ord(" ")
@@ -120,6 +132,45 @@ def _features(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return bucket, np.concatenate([line, pair_line]), words
 
 
+class Hashed(NamedTuple):
+    """Buckets of words and of the pairs they begin, by word; the last word of a run has none.
+
+    ``noticed`` counts the pairs of any notice before each word.
+    """
+
+    word: np.ndarray
+    pair: np.ndarray
+    noticed: np.ndarray
+
+
+def _hashed(data: np.ndarray, words: spans.Words, runs: spans.Words) -> Hashed:
+    """The words' buckets, with pairs inside ``runs``."""
+    h = spans.hash_spans(data, words.begin, words.end)
+    pairs, at, _ = spans.window_hashes(h, runs, 2, short=False)
+    size = np.uint64(BUCKETS)
+    pair = np.full(len(h), 2 * BUCKETS, np.int64)
+    pair[at] = (pairs % size + size).astype(np.int64)
+    noticed = np.zeros(len(h) + 1, np.int64)
+    noticed[at + 1] = np.isin(pairs, NOTICE_HASHES)
+    return Hashed((h % size).astype(np.int64), pair, np.cumsum(noticed))
+
+
+def windows(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of the windows over runs of words, by ascending begin."""
+    begins, ends, shorter = [], [], 0
+    for size, step in WINDOWS:
+        # Shorter runs are whole in a window of the size before.
+        own = count > shorter
+        n = 1 + np.maximum(0, -(-(count[own] - size) // step))
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begins.append(np.repeat(first[own], n) + step * k)
+        ends.append(np.minimum(begins[-1] + size, np.repeat((first + count)[own], n)))
+        shorter = size
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    order = np.argsort(begin, kind="stable")
+    return begin[order], end[order]
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights by bucket and class, with the calibration of the held-out rows."""
@@ -141,6 +192,34 @@ class Model:
         n = np.maximum(1, np.bincount(line, minlength=n_lines))
         return out / np.sqrt(n, dtype=np.float32)[:, None] + self.intercept
 
+    def likely(self, text: Hashed, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Windows that a family leads, that family's class and its probability.
+
+        Sums over windows are differences of running sums over a stretch of words. The windows
+        come by ascending begin.
+        """
+        table = np.append(self.weights.T, np.zeros((len(self.classes), 1), np.float32), axis=1)
+        intercept, found = self.intercept[:, None], []
+        for at in range(0, len(text.word), STRETCH):
+            a, b = np.searchsorted(begin, [at, at + STRETCH])
+            if a == b:
+                continue
+            stop = int(end[a:b].max())
+            pair = table[:, text.pair[at:stop]]
+            sums = np.zeros((len(table), stop - at + 1))
+            np.cumsum(table[:, text.word[at:stop]] + pair, axis=1, out=sums[:, 1:])
+            head, tail = begin[a:b] - at, end[a:b] - at
+            # The last word's pair reaches beyond the window.
+            z = sums[:, tail] - sums[:, head] - pair[:, tail - 1]
+            z = z / np.sqrt(2 * (tail - head) - 1) + intercept
+            led = np.flatnonzero(z[1:].max(0) > z[0])
+            p = self.probabilities(z[:, led].T)
+            kind = p[:, 1:].argmax(1) + 1
+            found.append((a + led, kind, p[np.arange(len(led)), kind]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
         z = np.exp(z - z.max(1, keepdims=True))
@@ -157,6 +236,22 @@ def _pairs(text: str) -> set[tuple[str, str]]:
 
 
 NOTICE_PAIRS = {family: [_pairs(n) for n in notices] for family, notices in NOTICES.items()}
+# Fewest word pairs of a notice that confirm a family.
+LEAST_PAIRS = {
+    family: min(ceil(SIMILAR * len(pairs)) for pairs in notices)
+    for family, notices in NOTICE_PAIRS.items()
+}
+
+
+def _notice_hashes() -> np.ndarray:
+    notices = [" ".join(_words(n)) for family in NOTICES.values() for n in family]
+    data, bounds = spans.text_bytes(pa.array(notices, pa.large_string()))
+    words = spans.find_words(data, bounds)
+    h = spans.hash_spans(data, words.begin, words.end)
+    return np.unique(spans.window_hashes(h, words, 2, short=False)[0])
+
+
+NOTICE_HASHES = _notice_hashes()
 
 
 def similarity(paragraph: str, family: str) -> float:
@@ -165,6 +260,21 @@ def similarity(paragraph: str, family: str) -> float:
     return max(len(own & pairs) / len(pairs) for pairs in NOTICE_PAIRS[family])
 
 
+def held(words: Sequence[str], family: str) -> tuple[float, int, int]:
+    """Similarity of a window, and first word and end of the notice in it.
+
+    The notice is the shortest stretch, from the end, with all pairs that the window holds.
+    """
+    pairs = list(zip(words, words[1:], strict=False))
+    own = set(pairs)
+    notice = max(NOTICE_PAIRS[family], key=lambda n: len(own & n) / len(n))
+    common = own & notice
+    last = {pair: i for i, pair in enumerate(pairs) if pair in common}
+    begin = min(last.values(), default=0)
+    end = max((pairs.index(pair, begin) + 2 for pair in common), default=0)
+    return len(common) / len(notice), begin, end
+
+
 def corpus_lines(docs: DataFrame, n: int = CORPUS_LINES) -> list[str]:
     """At most ``n`` lines of sampled documents, the lowest by hash."""
     total = docs.count()
@@ -180,25 +290,49 @@ def corpus_lines(docs: DataFrame, n: int = CORPUS_LINES) -> list[str]:
     return [row["line"] for row in rows]
 
 
-def training_rows(lines: Sequence[str]) -> list[tuple[str, str]]:
-    """(text, class): notices in variants, and corpus lines that hold no notice."""
+def training_rows(lines: Sequence[str]) -> list[tuple[str, str, int]]:
+    """(text, class, origin): notices in variants, and corpus lines that hold no notice.
+
+    A variant comes as a short line and as a window of a longer one, wherever the window
+    begins; a corpus line comes whole and with one window. Both rows have the same origin.
+    """
     draw = np.random.default_rng(SEED)
     plain = [
         line for line in lines if max(similarity(line, family) for family in NOTICES) < SIMILAR / 2
     ]
     around = [word for line in plain[:500] for word in line.split()] or ["text"]
-    rows = [(line, UNKNOWN) for line in plain]
+
+    def drawn(n: int) -> list[str]:
+        return [around[i] for i in draw.integers(0, len(around), n).tolist()]
+
+    rows = []
+    for origin, line in enumerate(plain):
+        rows.append((line, UNKNOWN, origin))
+        words = _words(line)
+        sizes = [size for size, _ in WINDOWS if size < len(words)]
+        if sizes:
+            size = int(draw.choice(sizes))
+            at = int(draw.integers(0, len(words) - size + 1))
+            rows.append((" ".join(words[at : at + size]), UNKNOWN, origin))
+    origin = len(plain)
     for family, notices in NOTICES.items():
         for notice in notices:
             words = notice.split()
-            rows.append((notice, family))
+            rows.append((notice, family, origin))
+            origin += 1
             for _ in range(VARIANTS):
                 kept = [w for w, p in zip(words, draw.random(len(words)), strict=True) if p > 0.08]
-                before = draw.choice(around, draw.integers(0, 8)).tolist()
-                after = draw.choice(around, draw.integers(0, 8)).tolist()
+                before = drawn(int(draw.integers(0, 8)))
+                after = drawn(int(draw.integers(0, 8)))
                 if draw.random() < 0.5:
                     before = after = []
-                rows.append((" ".join([*before, *kept, *after]), family))
+                rows.append((" ".join([*before, *kept, *after]), family, origin))
+                n = len(_words(" ".join(kept)))
+                room = int(draw.choice([size for size, _ in WINDOWS if size >= n][:2])) - n
+                before = drawn(int(draw.integers(0, room + 1)))
+                after = drawn(room - len(before))
+                rows.append((" ".join([*before, *kept, *after]), family, origin))
+                origin += 1
     return rows
 
 
@@ -211,16 +345,18 @@ def _vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame) -> Model:
-    """The model with its calibration; every fourth row is held out of the training."""
+    """The model with its calibration; every fourth origin is held out of the training."""
     spark = docs.sparkSession
     rows = training_rows(corpus_lines(docs))
     classes = [UNKNOWN, *NOTICES]
-    label = np.array([classes.index(kind) for _, kind in rows])
-    bucket, line = _vectors([text for text, _ in rows])
-    held = np.arange(len(rows)) % 4 == 3
+    label = np.array([classes.index(kind) for _, kind, _ in rows])
+    bucket, line = _vectors([text for text, _, _ in rows])
+    out = np.array([origin for _, _, origin in rows]) % 4 == 3
+    order = np.argsort(line, kind="stable")
+    parts = np.split(bucket[order], np.searchsorted(line[order], np.arange(1, len(rows))))
     examples = []
-    for i in np.flatnonzero(~held).tolist():
-        names, counts = np.unique(bucket[line == i], return_counts=True)
+    for i in np.flatnonzero(~out).tolist():
+        names, counts = np.unique(parts[i], return_counts=True)
         scale = 1 / np.sqrt(max(1, counts.sum()))
         examples.append((float(label[i]), SparseVector(2 * BUCKETS, names, counts * scale)))
     fitted = LogisticRegression(
@@ -232,20 +368,29 @@ def train(docs: DataFrame) -> Model:
         np.ascontiguousarray(fitted.coefficientMatrix.toArray().T, np.float32),
         fitted.interceptVector.toArray().astype(np.float32),
     )
-    return calibrated(model, model.logits(bucket, line, len(rows))[held], label[held])
+    plain = {origin: text for text, kind, origin in reversed(rows) if kind == UNKNOWN}
+    texts = [text for origin, text in plain.items() if origin % 4 == 3]
+    return calibrated(model, model.logits(bucket, line, len(rows))[out], label[out], texts)
 
 
-def calibrated(model: Model, logits: np.ndarray, label: np.ndarray) -> Model:
-    """The temperature of least log loss, and the threshold of the families."""
+def calibrated(model: Model, logits: np.ndarray, label: np.ndarray, plain: list[str]) -> Model:
+    """The temperature of least log loss, and the threshold of the families on plain lines."""
     row, best = np.arange(len(label)), (np.inf, 1.0)
     for temperature in np.geomspace(0.05, 5, 60):
         trial = Model(model.classes, model.weights, model.intercept, float(temperature))
         loss = -np.log(np.maximum(trial.probabilities(logits)[row, label], 1e-12)).mean()
         best = min(best, (loss, float(temperature)))
     chosen = Model(model.classes, model.weights, model.intercept, best[1])
-    family = chosen.probabilities(logits)[label == 0, 1:].max(1)
-    if not len(family):
+    if not plain:
         return chosen
+    data, bounds = spans.text_bytes(pa.array(plain, pa.large_string()))
+    data[:-8] = _PLAIN[data[:-8]]
+    words = spans.find_words(data, bounds)
+    begin, end = windows(words.first, words.count)
+    at, _, probability = chosen.likely(_hashed(data, words, words), begin, end)
+    family = np.zeros(len(plain))
+    line = np.searchsorted(words.first + words.count, begin[at], side="right")
+    np.maximum.at(family, line, probability)
     threshold = max(0.5, float(np.quantile(family, 1 - FALSE_SHARE, method="higher")))
     return Model(model.classes, model.weights, model.intercept, best[1], min(threshold, 0.95))
 
@@ -278,28 +423,59 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _scan_piece(model: Model, piece: pa.RecordBatch) -> list[pa.Array]:
     data, cuts, row = _lines(piece.column("text"))
-    bucket, line, words = _features(data, cuts)
-    probability = model.probabilities(model.logits(bucket, line, len(row)))
-    kind = probability[:, 1:].argmax(1) + 1
-    surest = probability[np.arange(len(row)), kind]
-    likely = (words.count > 0) & (surest >= model.threshold) & (surest > probability[:, 0])
+    words = spans.find_words(data, cuts)
+    line = np.repeat(np.arange(len(words.count)), words.count)
+    text = _hashed(data, words, words)
+    begin, end = windows(words.first, words.count)
+    at, kind, probability = model.likely(text, begin, end)
+    begin, end = begin[at], end[at]
+    least = np.array([0, *(LEAST_PAIRS[family] for family in model.classes[1:])])
+    # Only windows with enough pairs of any notice can be similar to one.
+    likely = (probability >= model.threshold) & (
+        text.noticed[end - 1] - text.noticed[begin] >= least[kind]
+    )
     n = piece.num_rows
     first = np.searchsorted(row, np.arange(n))
-    licensed, best = np.zeros(n, np.int64), [None] * n
+    found = [[] for _ in range(n)]
     for i in np.flatnonzero(likely).tolist():
-        family = model.classes[kind[i]]
-        own = int(row[i])
-        like = similarity(data[cuts[i] : cuts[i + 1]].tobytes().decode(), family)
+        family, a, b = model.classes[kind[i]], int(begin[i]), int(end[i])
+        whole = data[words.begin[a] : words.end[b - 1]].tobytes()
+        own = [
+            whole[x:y].decode()
+            for x, y in zip(
+                (words.begin[a:b] - words.begin[a]).tolist(),
+                (words.end[a:b] - words.begin[a]).tolist(),
+                strict=True,
+            )
+        ]
+        like, head, tail = held(own, family)
         if like >= SIMILAR:
-            licensed[own] += 1
-            found = (like, float(surest[i]), -(i - int(first[own])), family)
-            best[own] = max(best[own], found) if best[own] else found
+            found[row[line[a]]].append((-like, -float(probability[i]), a + head, a + tail, family))
+    licensed, best = np.zeros(n, np.int64), [None] * n
+    for i in range(n):
+        taken = apart(found[i])
+        if taken:
+            licensed[i] = len({int(line[notice[2]]) for notice in taken})
+            like, surest, a, _, family = taken[0]
+            best[i] = (-like, -surest, int(line[a] - first[i]), family)
     return [
         piece.column("doc_id"),
         pa.array(np.bincount(row[words.count > 0], minlength=n), pa.int64()),
         pa.array(licensed),
         pa.array([b and b[3] for b in best], pa.string()),
-        pa.array([b and -b[2] for b in best], pa.int64()),
+        pa.array([b and b[2] for b in best], pa.int64()),
         pa.array([b and round(b[1], 6) for b in best], pa.float64()),
         pa.array([b and round(b[0], 6) for b in best], pa.float64()),
     ]
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of (-similarity, -probability, begin, end, family) the lowest that do not overlap."""
+    taken, begins, ends = [], [], []
+    for notice in sorted(found):
+        k = bisect_left(begins, notice[3])
+        if not k or ends[k - 1] <= notice[2]:
+            taken.append(notice)
+            begins.insert(k, notice[2])
+            ends.insert(k, notice[3])
+    return taken

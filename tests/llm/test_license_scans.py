@@ -1,5 +1,6 @@
 import numpy as np
 import odd
+import pyarrow as pa
 import pytest
 
 from panelforge.llm import license_scans as scans
@@ -57,3 +58,41 @@ def test_odd_documents(docs):
 
 def test_empty_table(no_docs):
     assert scans.scan(no_docs).collect() == []
+
+
+@pytest.fixture(scope="module")
+def model(small):
+    return scans.train(small[0])
+
+
+@pytest.mark.parametrize("n", [40, 200, 5000])
+def test_notices_deep_inside_a_line(model, small, n):
+    """Words of the corpus before and behind a notice on its line do not hide it."""
+    draw = np.random.default_rng(n)
+    plain = [x for _, t in small[1] for x in (t or "").split("\n")]
+    plain = [x for x in plain if max(scans.similarity(x, f) for f in scans.NOTICES) < 0.2]
+    words = np.array([w for w in " ".join(plain).split() if len(w) < 30])
+    texts, wanted = [], []
+    for family, notices in scans.NOTICES.items():
+        for notice in notices:
+            for _ in range(4):
+                before, after = draw.choice(words, n), draw.choice(words, 40)
+                texts.append("first line\n" + " ".join([*before, notice, *after]))
+                wanted.append(family)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    _, paragraphs, licensed, family, paragraph, _, similarity = scans._scan_piece(model, batch)
+    right = np.mean([a == b for a, b in zip(family.to_pylist(), wanted, strict=True)])
+    assert right > 0.97
+    assert set(paragraphs.to_pylist()) == {2}
+    hit = [k for k, f in enumerate(family.to_pylist()) if f]
+    assert {paragraph[k].as_py() for k in hit} == {1} == {licensed[k].as_py() for k in hit}
+    assert min(similarity[k].as_py() for k in hit) >= scans.SIMILAR
+
+
+def test_windows_hold_every_notice_whole():
+    for notices in scans.NOTICES.values():
+        for notice in notices:
+            n = len(scans._words(notice))
+            for at in range(40):
+                begin, end = scans.windows(np.array([7]), np.array([n + 60]))
+                assert ((begin <= 7 + at) & (end >= 7 + at + n)).any()
