@@ -1,7 +1,9 @@
 """Licence families of documents, by a trained classifier of paragraphs.
 
-A paragraph is a line. Overlapping windows of about a notice's length run over all of its
-words (``WINDOWS``), so that words far from a notice do not dilute it. The words and word
+A paragraph is a line. Notices may be wrapped over lines: lines that no blank one parts are
+a block, and a line without words (such as a lone comment mark) is blank. Overlapping windows
+of about a notice's length run over all words of a block (``WINDOWS``), so that words far
+from a notice do not dilute it, and every line of up to the largest window is one by itself. The words and word
 pairs of a window are hashed into a sparse vector that a multinomial logistic regression
 assigns to a licence family or to ``UNKNOWN``. The model is trained on variants of the
 notices below, with words dropped and corpus words around them as in windows of longer
@@ -171,6 +173,26 @@ def windows(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begin[order], end[order]
 
 
+def blocks(words: spans.Words, row: np.ndarray) -> spans.Words:
+    """The words by runs of lines of a row with no blank line between them."""
+    solid = np.flatnonzero(words.count)
+    new = (np.diff(solid, prepend=-2) > 1) | (np.diff(row[solid], prepend=-1) > 0)
+    starts = np.flatnonzero(new)
+    count = np.add.reduceat(words.count[solid], starts) if len(starts) else words.count[:0]
+    return spans.Words(words.begin, words.end, words.first[solid[starts]], count)
+
+
+def _with_lines(
+    begin: np.ndarray, end: np.ndarray, lines: spans.Words
+) -> tuple[np.ndarray, np.ndarray]:
+    """The windows and all lines no longer than the largest, by ascending begin."""
+    short = (lines.count > 0) & (lines.count <= WINDOWS[-1][0])
+    begin = np.concatenate([begin, lines.first[short]])
+    end = np.concatenate([end, (lines.first + lines.count)[short]])
+    order = np.argsort(begin, kind="stable")
+    return begin[order], end[order]
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights by bucket and class, with the calibration of the held-out rows."""
@@ -425,8 +447,9 @@ def _scan_piece(model: Model, piece: pa.RecordBatch) -> list[pa.Array]:
     data, cuts, row = _lines(piece.column("text"))
     words = spans.find_words(data, cuts)
     line = np.repeat(np.arange(len(words.count)), words.count)
-    text = _hashed(data, words, words)
-    begin, end = windows(words.first, words.count)
+    runs = blocks(words, row)
+    text = _hashed(data, words, runs)
+    begin, end = _with_lines(*windows(runs.first, runs.count), words)
     at, kind, probability = model.likely(text, begin, end)
     begin, end = begin[at], end[at]
     least = np.array([0, *(LEAST_PAIRS[family] for family in model.classes[1:])])

@@ -96,3 +96,46 @@ def test_windows_hold_every_notice_whole():
             for at in range(40):
                 begin, end = scans.windows(np.array([7]), np.array([n + 60]))
                 assert ((begin <= 7 + at) & (end >= 7 + at + n)).any()
+
+
+WRAPPED = {
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+        'of this software and associated documentation files (the "Software"), to deal\n'
+        "in the Software without restriction",
+        0,
+    ),
+    "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify\n"
+        "it under the terms of the GNU General Public License as published by\n"
+        "the Free Software Foundation, either version 3 of the License, or\n"
+        "(at your option) any later version.",
+        1,
+    ),
+    "BSD": (
+        "Redistribution and use in source and binary forms, with or without\n"
+        "modification, are permitted provided that the following conditions\nare met:",
+        0,
+    ),
+}
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_notices_wrapped_over_lines(model, family, mark):
+    """A notice is found over line breaks, at the line where it begins."""
+    text, at = WRAPPED[family]
+    text = "".join(f"{mark}{line}\n" for line in ("Some title", "", *text.split("\n"), "", "end"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    _, _, licensed, got, paragraph, _, similarity = scans._scan_piece(model, batch)
+    assert got.to_pylist() == [family] and licensed.to_pylist() == [1]
+    assert paragraph.to_pylist() == [2 + at]
+    assert similarity[0].as_py() >= scans.SIMILAR
+
+
+def test_a_blank_line_parts_blocks():
+    text = pa.array(["a b\nc\n\nd e f\n #\ng", "h i", None, "j"], pa.string())
+    data, cuts, row = scans._lines(text)
+    words = scans.spans.find_words(data, cuts)
+    runs = scans.blocks(words, row)
+    assert runs.first.tolist() == [0, 3, 6, 7, 9] and runs.count.tolist() == [3, 3, 1, 2, 1]
