@@ -6,8 +6,8 @@ labelled ones: gradient-boosted trees on lexical features learn from them what b
 look like and judge the others.
 
 Only DataFrame functions and Spark ML are used. The trees are fitted on at most
-``FIT_ROWS`` labelled rows, the lowest by a hash of the URL; statistics of the suffixes are
-counted on all labelled rows.
+``FIT_ROWS`` distinct labelled URLs, of each kind its share and the lowest by a hash of the
+URL; statistics of the suffixes are counted on all labelled rows.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no
 rule and is judged by its features like any other; repeated rows are judged alike; without
@@ -178,8 +178,26 @@ def _features(urls: DataFrame, labelled: DataFrame) -> tuple[DataFrame, float |
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> GBTClassificationModel:
-    """Trees from at most ``rows`` labelled URLs, in one partition so that sums are repeatable."""
-    chosen = labelled.orderBy(F.xxhash64("url"), "url").limit(rows).coalesce(1)
+    """Trees from labelled URLs, in one partition so that sums are repeatable.
+
+    Of more than ``rows`` distinct URLs each kind gives its share, but at least one. Repeats
+    of a URL have equal labels and features, and are combined before they are shuffled.
+    """
+    urls = materialize(
+        labelled.select("url", "label", "features").dropDuplicates(["url"]), "labelled_urls"
+    )
+    kinds = {r["label"]: r["count"] for r in urls.groupBy("label").count().collect()}
+    total = sum(kinds.values())
+    parts = [
+        urls.where(F.col("label") == kind)
+        .orderBy(F.xxhash64("url"), "url")
+        .limit(n if total <= rows else max(1, rows * n // total))
+        for kind, n in sorted(kinds.items())
+    ]
+    chosen = parts[0]
+    for part in parts[1:]:
+        chosen = chosen.unionByName(part)
+    chosen = chosen.coalesce(1)
     trees = GBTClassifier(
         featuresCol="features",
         labelCol="label",

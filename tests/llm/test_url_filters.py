@@ -111,3 +111,22 @@ def test_no_python_in_the_plan(spark):
     plan = urls.judge(spark.read.parquet(f"{odd.SF}/pages.parquet"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_a_hot_url_does_not_fill_the_sample(spark):
+    """Repeats of the ruled URL that comes first by its hash leave room for the others."""
+    rows = []
+    for k in range(300):
+        bad = k % 2
+        path = f"/{'a1b2' * (k % 5 + 3) if bad else 'story'}/{k}"
+        rows.append((k, f"http://{'x7-q' if bad else 'news'}{k}.example.biz{path}"))
+    shown = [
+        urls.Rule("block" if k % 2 else "allow", url.split("/")[2], "/") for k, url in rows[:200]
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    hot = df.where("page_id < 200").orderBy(urls.F.xxhash64("url")).first()["url"]
+    repeats = spark.range(1000, 1300).select(urls.F.col("id").alias("page_id"), urls.F.lit(hot).alias("url"))
+    got = urls.judge(df.unionByName(repeats), shown, fit_rows=100).collect()
+    held = {r["page_id"]: r["verdict"] for r in got if 200 <= r["page_id"] < 300}
+    right = sum((verdict == "block") == bool(k % 2) for k, verdict in held.items())
+    assert len(held) == 100 and right > 95
