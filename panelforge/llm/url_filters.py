@@ -67,7 +67,6 @@ FEATURES = (
     "f_secure",
     "f_suffix_rate",
     "f_suffix_count",
-    "f_head_rate",
 )
 AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -141,7 +140,6 @@ def lexical(urls: DataFrame) -> DataFrame:
             "f_hyphens": (F.length(url) - F.length(F.replace(url, F.lit("-"), F.lit("")))).cast("double"),
             "f_secure": url.startswith("https://").cast("double"),
             "suffix": F.substring_index(host, ".", -2),
-            "head": F.regexp_extract(path, r"(?s)^/([^/]*)", 1),
         }
     )
 
@@ -166,13 +164,11 @@ def _features(urls: DataFrame, labelled: DataFrame) -> tuple[DataFrame, float |
     if rate is None or rate in (0.0, 1.0):
         return urls, None
     overall = F.lit(rate)
-    joined = urls
-    for key, out in (("suffix", "f_suffix"), ("head", "f_head")):
-        joined = joined.join(_rates(labelled, key, overall, out), key, "left")
+    joined = urls.join(_rates(labelled, "suffix", overall, "f_suffix"), "suffix", "left")
     return (
-        joined.fillna(
-            {"f_suffix_rate": rate, "f_suffix_count": 0.0, "f_head_rate": rate, "f_head_count": 0.0}
-        ).withColumn("f_suffix_count", F.log1p("f_suffix_count")),
+        joined.fillna({"f_suffix_rate": rate, "f_suffix_count": 0.0}).withColumn(
+            "f_suffix_count", F.log1p("f_suffix_count")
+        ),
         rate,
     )
 

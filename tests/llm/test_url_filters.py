@@ -130,3 +130,16 @@ def test_a_hot_url_does_not_fill_the_sample(spark):
     held = {r["page_id"]: r["verdict"] for r in got if 200 <= r["page_id"] < 300}
     right = sum((verdict == "block") == bool(k % 2) for k, verdict in held.items())
     assert len(held) == 100 and right > 95
+
+
+def test_no_feature_restates_the_path_of_a_rule(spark):
+    """URLs of the same letters in another first segment have the same features."""
+    shown = [(1, "http://a.com/de/1"), (2, "http://a.com/fr/1")]
+    asked = [(3, "http://a.net/de/1"), (4, "http://a.net/ed/1")]
+    df = spark.createDataFrame(shown + asked, "page_id long, url string")
+    host, path = urls.host_and_path(df["url"])
+    ready = urls.lexical(df.withColumns({"host": host, "path": path}))
+    ready = ready.withColumn("label", urls.F.expr("CASE page_id WHEN 1 THEN 1D WHEN 2 THEN 0D END"))
+    got, _ = urls._features(ready, ready.where("label IS NOT NULL"))
+    features = {r["page_id"]: tuple(r[f] for f in urls.FEATURES) for r in got.collect()}
+    assert features[3] == features[4] and "f_head_rate" not in got.columns
