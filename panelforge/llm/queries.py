@@ -16,6 +16,7 @@ from panelforge.llm import (
     ngram_jaccard_join,
     quality_rules,
     url_filters,
+    whitening,
     word_bpe,
 )
 from panelforge.llm.tables import read
@@ -63,6 +64,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scans.scan(read(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_rules,
         op9_document_fingerprints,
         op10_license_scans,
+        op13_embedding_whitening,
     )
 }
 
