@@ -14,6 +14,7 @@ from panelforge.llm import (
     license_scans,
     line_dedup,
     ngram_jaccard_join,
+    prefix_trie,
     quality_rules,
     url_filters,
     whitening,
@@ -64,6 +65,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scans.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_rules,
         op9_document_fingerprints,
         op10_license_scans,
+        op11_conversation_prefix_trie,
         op13_embedding_whitening,
     )
 }
@@ -90,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_chat_formatting": chat_formatting.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
+    "op11_conversation_prefix_trie": prefix_trie.ORACLE,
 }
