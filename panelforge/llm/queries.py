@@ -16,6 +16,7 @@ from panelforge.llm import (
     ngram_jaccard_join,
     prefix_trie,
     quality_rules,
+    toxicity,
     url_filters,
     whitening,
     word_bpe,
@@ -69,6 +70,10 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie.trie(read(spark, sf_dir, "conversations"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
         op9_document_fingerprints,
         op10_license_scans,
         op11_conversation_prefix_trie,
+        op12_toxicity,
         op13_embedding_whitening,
     )
 }

@@ -83,10 +83,10 @@ def split_rows(text: bytes, bounds: np.ndarray) -> tuple[list[bytes], list[int]]
     return words, ends
 
 
-def find_words(data: np.ndarray, bounds: np.ndarray) -> Words:
-    """Spans of the words of each row."""
+def find_words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """Spans of the words of each row; ``space`` marks the bytes between them."""
     size = int(bounds[-1])
-    solid = ~SPACE[data[:size]]
+    solid = ~space[data[:size]]
     left, right = solid.copy(), solid.copy()
     left[1:] &= ~solid[:-1]
     right[:-1] &= ~solid[1:]
