@@ -11,5 +11,5 @@ HEAD_ROWS = 5
 DATE_PATTERN = "d.M.yyyy"
 MISSING_LABEL = "nan"
 DEDUP_KEYS = ("date", "date_block_num", "shop_id", "item_id", "item_cnt_day")
-FOREST = {"numTrees": 25, "maxDepth": 15, "seed": 42}
+FOREST = {"trees": 25, "depth": 15, "seed": 42}
 QUARTILES = (0.25, 0.5, 0.75)

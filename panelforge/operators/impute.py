@@ -1,26 +1,17 @@
-"""Prices of items that never had one, predicted by a forest."""
+"""Prices of items that never had one, predicted by extremely randomized trees."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.constants import FOREST
+from panelforge.operators import extra_trees
 from panelforge.operators.panel import PAIR
 from panelforge.operators.prices import last_price, unpriced_pairs
 from panelforge.session import materialize
 
 FEATURES = ["shop_id", "item_id", "item_category_id", "item_group"]
-# Split candidates per feature; ids are plain numbers with many distinct values.
-MAX_BINS = 128
-# Partitions of the training rows. Spark ML draws its resamples by partition, so the number
-# is part of the model and does not follow the cores.
-TRAINING_PARTITIONS = 16
-# Digits of a training price; sums in another order differ in the last ones only.
-PRICE_DIGITS = 6
 # Category and group of an item that has none.
 NO_CODE = -1
 
@@ -36,42 +27,14 @@ def _with_features(df: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def fit_price_model(
-    price: DataFrame,
-    items: DataFrame,
-    partitions: int = TRAINING_PARTITIONS,
-    max_bins: int = MAX_BINS,
-) -> PipelineModel:
-    """A forest on all priced rows; every split looks at all features.
-
-    Spark ML has no extremely randomized trees. Trees differ by resampling the rows here,
-    so predictions are close in kind but not equal. The month is no feature, so the priced
-    months of a pair are one training row: their mean, weighted by their number. The rows
-    are put in a fixed order in a fixed number of ``partitions``, so that the model is the
-    same on any cluster. ``max_bins`` is the number of split candidates per feature. The
-    rows are written out because training reads them several times.
+    price: DataFrame, items: DataFrame, local_rows: int = extra_trees.LOCAL_ROWS
+) -> extra_trees.Forest:
+    """Trees on all priced rows. The month is no feature, so the priced months of a pair are
+    merged into one row with their sum, number and range, which changes no tree.
     """
-    pairs = price.groupBy(*PAIR).agg(
-        F.round(F.avg("item_price"), PRICE_DIGITS).alias("item_price"),
-        F.count(F.lit(1)).cast("double").alias("_weight"),
-    )
-    rows = materialize(
-        _with_features(pairs, items).select(*FEATURES, "item_price", "_weight"), "priced"
-    )
-    rows = rows.repartition(partitions, *PAIR).sortWithinPartitions(*PAIR)
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-    forest = RandomForestRegressor(
-        featuresCol="_features",
-        labelCol="item_price",
-        predictionCol="_prediction",
-        weightCol="_weight",
-        bootstrap=True,
-        featureSubsetStrategy="all",
-        maxBins=max_bins,
-        maxMemoryInMB=512,
-        cacheNodeIds=True,
-        **FOREST,
-    )
-    return Pipeline(stages=[assembler, forest]).fit(rows)
+    features = _with_features(price.select(*PAIR, "item_price"), items)
+    rows = materialize(extra_trees.training_rows(features, FEATURES, "item_price"), "priced")
+    return extra_trees.fit(rows, FEATURES, **FOREST, local_rows=local_rows)
 
 
 def impute_price(targets: DataFrame, price: DataFrame, items: DataFrame) -> DataFrame:
@@ -82,8 +45,7 @@ def impute_price(targets: DataFrame, price: DataFrame, items: DataFrame) -> Data
     wanted = materialize(_with_features(unpriced_pairs(targets, price), items), "unpriced")
     if wanted.isEmpty():
         return wanted.select(*PAIR, F.lit(None).cast("double").alias("item_price"))
-    predicted = fit_price_model(price, items).transform(wanted)
-    return predicted.select(*PAIR, F.col("_prediction").alias("item_price"))
+    return fit_price_model(price, items).predict(wanted, "item_price").select(*PAIR, "item_price")
 
 
 def target_price(targets: DataFrame, price: DataFrame, items: DataFrame) -> DataFrame:

@@ -355,7 +355,7 @@ def impute_price_check(spark: SparkSession, folder: str) -> DataFrame:
     means = price.groupBy(*PAIR).agg(F.round(F.avg("item_price"), DIGITS).alias("mean"))
     # One row.
     bounds = means.agg(F.min("mean").alias("low"), F.max("mean").alias("high")).first()
-    at = F.col("item_price")
+    at = F.round("item_price", DIGITS)
     return predicted.select(
         *PAIR,
         at.isNotNull().alias("is_priced"),

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; a cluster's own settings win.
@@ -35,6 +39,17 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     return builder.getOrCreate()
 
 
+def with_package(spark: SparkSession) -> None:
+    """Let Python workers of a local session import this package from where it lies.
+
+    On a cluster it is installed on the executors, or sent there with the job.
+    """
+    context = spark.sparkContext
+    known = context.environment.get("PYTHONPATH", "")
+    if context.master.startswith("local[") and ROOT not in known.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
