@@ -2,91 +2,126 @@
 
 The average with span ``s`` is the bias-adjusted one: with ``q = 1 - 2 / (s + 1)`` the
 value at step t is ``sum(q^(t-j) x_j) / sum(q^(t-j))`` over j <= t. Along the months it is a
-recurrence over the array of a pair's months, on one row per pair; dense rows unfold last.
+recurrence. Spark's array functions can only append to an array by copying it, so the
+recurrences run in numpy inside ``mapInArrow``: a task unfolds the non-empty months of some
+pairs, carries all averages, MACD and signal in one pass over the months for these pairs side
+by side, and writes the dense rows, in time linear in them. Pairs are shuffled, months are not.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.constants import EMA_SPANS, SIGNAL_SPAN
 from panelforge.operators.ordering import dense_positions
 from panelforge.operators.panel import BLOCK, PAIR, Panel, Targets
+from panelforge.session import with_package
 
-# The weights of one running sum must stay within doubles: q^-t below about e^600.
-MAX_EXPONENT = 600.0
-# Below e^-746 a double is zero.
-MIN_EXPONENT = 746.0
 # Pairs per slice of the pair order.
 MAX_SLICE = 1024
+# Dense rows that are made at a time.
+PIECE_ROWS = 500_000
+# The place of what earlier slices add, before the first row of a slice.
+CARRIED = -1
+NAMES = ("ema_s", "ema_m", "ema_l", "macd", "sig")
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def decay(span: float) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
 
-def _longest(q: float) -> int:
-    """Steps one running sum may cover."""
-    return max(1, int(MAX_EXPONENT / -math.log(q)))
-
-
-def _so_far(*keys: str, order: str) -> WindowSpec:
-    return (
-        Window.partitionBy(*keys)
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-
-
-def averages(values: Column, span: float) -> Column:
-    """Moving averages of an array of any length, as an array."""
-    q = decay(span)
-    start = F.struct(
-        F.lit(0.0).alias("top"),
-        F.lit(0.0).alias("bottom"),
-        F.array().cast("array<double>").alias("out"),
-    )
+def _averages(values: np.ndarray, spans: Sequence[float]) -> np.ndarray:
+    """Moving averages along the first axis: one matrix per span, in one pass."""
+    q = np.array([decay(span) for span in spans])[:, None]
+    out = np.empty((len(spans), *values.shape))
+    top, bottom = np.zeros((len(spans), values.shape[1])), np.zeros((len(spans), 1))
+    for t, now in enumerate(values):
+        top = top * q + now
+        bottom = bottom * q + 1.0
+        out[:, t] = top / bottom
+    return out
 
-    def step(at: Column, value: Column) -> Column:
-        top, bottom = at["top"] * q + value, at["bottom"] * q + 1.0
-        out = F.array_append(at["out"], top / bottom)
-        return F.struct(top.alias("top"), bottom.alias("bottom"), out.alias("out"))
-
-    return F.aggregate(values, start, step, lambda at: at["out"])
 
+@dataclass(frozen=True)
+class _Months:
+    """How the non-empty months of a pair become an array of all months."""
+
+    n_blocks: int
+    bounds: tuple[float, float]
+
+    def columns(self) -> list[Column]:
+        """The non-empty months of a pair and their sales."""
+        blocks = F.coalesce(F.map_keys("history"), F.array().cast("array<int>"))
+        counts = F.transform(F.map_values("history"), lambda cell: cell["item_cnt"])
+        counts = F.coalesce(counts, F.array().cast("array<double>"))
+        return [blocks.alias("_blocks"), counts.alias("_counts")]
+
+    def pieces(self, batches: Batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Some rows of a batch with their sales before clipping, a row per pair."""
+        size = max(1, PIECE_ROWS // self.n_blocks)
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                piece = batch.slice(at, size)
+                values = np.zeros((piece.num_rows, self.n_blocks))
+                _scatter(values, piece.column("_blocks"), piece.column("_counts"))
+                yield piece, values
+
+    def clipped(self, values: np.ndarray) -> np.ndarray:
+        return np.clip(values, *self.bounds)
+
+    def rows(self, piece: pa.RecordBatch, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """Matrices by month and pair as rows; the value of month m is a feature of m + 1."""
+        n = piece.num_rows
+        at = pa.array(np.repeat(np.arange(n), self.n_blocks))
+        arrays = [piece.column(name).take(at) for name in PAIR]
+        arrays += [pa.array(np.ascontiguousarray(m.T).ravel()) for m in found.values()]
+        arrays.append(pa.array(np.tile(np.arange(1, self.n_blocks + 1, dtype=np.int32), n)))
+        return pa.RecordBatch.from_arrays(
+            arrays, [*PAIR, *[f"cnt_{name}_prev" for name in found], BLOCK]
+        )
 
-def _difference(left: str, right: str) -> Column:
-    return F.zip_with(left, right, lambda a, b: a - b)
+    def schema(self, df: DataFrame, names: Sequence[str]) -> str:
+        kinds = dict(df.dtypes)
+        columns = [f"{name} {kinds[name]}" for name in PAIR]
+        columns += [f"cnt_{name}_prev double" for name in names]
+        return ", ".join([*columns, f"{BLOCK} int"])
 
 
-def _published(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Arrays by month as rows; the value of month m is a feature of month m + 1."""
-    months = df.select(*PAIR, F.posexplode(F.arrays_zip(*names)).alias("_month", "_at"))
-    return months.select(
-        *PAIR,
-        *[F.col("_at")[name].alias(f"cnt_{name}_prev") for name in names],
-        (F.col("_month") + 1).alias(BLOCK),
-    )
+def _scatter(values: np.ndarray, blocks: pa.Array, numbers: pa.Array) -> None:
+    """Put each row's numbers at its months; a null row has none."""
+    counts = np.diff(blocks.offsets.to_numpy())
+    row = np.repeat(np.arange(len(counts)), counts)
+    values[row, blocks.flatten().to_numpy()] = numbers.flatten().to_numpy()
 
 
 def trend(
     panel: Panel, spans: Sequence[float] = EMA_SPANS, signal_span: float | None = SIGNAL_SPAN
 ) -> DataFrame:
     """Averages, MACD and, unless ``signal_span`` is None, its signal along the months."""
-    names = ["ema_s", "ema_m", "ema_l", "macd"]
-    df = panel.series.select(*PAIR, panel.months().alias("_x")).withColumns(
-        {name: averages(F.col("_x"), span) for name, span in zip(names, spans, strict=False)}
-    )
-    df = df.withColumn("macd", _difference("ema_s", "ema_l"))
-    if signal_span is not None:
-        df = df.withColumn("sig", averages(F.col("macd"), signal_span))
-        names.append("sig")
-    return _published(df, names)
+    months = _Months(panel.n_blocks, panel.bounds)
+    names = NAMES if signal_span is not None else NAMES[:-1]
+
+    def averaged(batches: Batches) -> Batches:
+        for piece, values in months.pieces(batches):
+            values = np.ascontiguousarray(months.clipped(values).T)
+            short, middle, long = _averages(values, spans)
+            found = [short, middle, long, short - long]
+            if signal_span is not None:
+                found += list(_averages(found[3], [signal_span]))
+            yield months.rows(piece, dict(zip(names, found, strict=True)))
+
+    with_package(panel.series.sparkSession)
+    pairs = panel.series.select(*PAIR, *months.columns())
+    return pairs.mapInArrow(averaged, months.schema(pairs, names))
 
 
 @dataclass(frozen=True)
@@ -122,28 +157,52 @@ class PairOrder:
         )
 
 
-def _carried(placed_cells: DataFrame, q: float, length: int, n_slices: int) -> DataFrame:
-    """Per slice: by month, the decayed sum of everything in earlier slices.
+def decayed_totals(totals: DataFrame, decay_per_slice: float, n_slices: int) -> DataFrame:
+    """Per slice and month: its ``_total`` and those before, each decayed by its distance.
 
-    A slice's total is sent on to every following slice where its weight is above zero in
-    double precision, which for short spans is the next few. Only non-empty cells add to a
-    total.
+    A scan in steps of doubling distance: after step k a slice holds what comes from the
+    2^k slices up to it, and sends that on 2^k slices further, weighted by the decay over
+    that distance. So a slice's total is copied once per step however far it reaches, and
+    the steps end with the slices or where the weight is zero in double precision.
+    """
+    distance = 1
+    while distance < n_slices and decay_per_slice**distance > 0.0:
+        sent = F.array(
+            F.struct(F.lit(0).cast("long").alias("ahead"), F.col("_total").alias("total")),
+            F.struct(
+                F.lit(distance).cast("long").alias("ahead"),
+                (F.col("_total") * F.lit(decay_per_slice**distance)).alias("total"),
+            ),
+        )
+        totals = (
+            totals.select("_slice", BLOCK, F.explode(sent).alias("_sent"))
+            .groupBy((F.col("_slice") + F.col("_sent.ahead")).alias("_slice"), BLOCK)
+            .agg(F.sum("_sent.total").alias("_total"))
+            .where(F.col("_slice") < n_slices)
+        )
+        distance *= 2
+    return totals
+
+
+def _carried(placed_cells: DataFrame, q: float, length: int, n_slices: int) -> DataFrame:
+    """Per slice: the months and decayed sums of everything in earlier slices, placed before
+    its first row. Only non-empty cells add to a total.
     """
     to_end = F.pow(F.lit(q), F.lit(length - 1) - F.col("_off"))
     totals = placed_cells.groupBy("_slice", BLOCK).agg(
         F.sum(F.col("item_cnt") * to_end).alias("_total")
     )
-    reach = math.ceil(MIN_EXPONENT / (length * -math.log(q)))
-    following = F.least(F.lit(reach).cast("long"), F.lit(n_slices - 1) - F.col("_slice"))
-    weight = F.pow(F.lit(q), F.lit(length) * (F.col("_ahead") - 1))
-    sums = (
-        totals.where(F.col("_slice") < n_slices - 1)
-        .withColumn("_ahead", F.explode(F.sequence(F.lit(1).cast("long"), following)))
-        .groupBy((F.col("_slice") + F.col("_ahead")).alias("_slice"), BLOCK)
-        .agg(F.sum(F.col("_total") * weight).alias("_sum"))
-    )
-    return sums.groupBy("_slice").agg(
-        F.map_from_entries(F.collect_list(F.struct(BLOCK, "_sum"))).alias("_carried")
+    sums = decayed_totals(totals, q**length, n_slices - 1)
+    months = F.sort_array(F.collect_list(F.struct(BLOCK, "_total")))
+    return (
+        sums.groupBy((F.col("_slice") + 1).alias("_slice"))
+        .agg(months.alias("_months"))
+        .select(
+            "_slice",
+            F.lit(CARRIED).cast("long").alias("_off"),
+            F.col(f"_months.{BLOCK}").alias("_blocks"),
+            F.col("_months._total").alias("_counts"),
+        )
     )
 
 
@@ -164,45 +223,40 @@ def trend_pair_signal(
     side by side on one row per pair; the dense months unfold after the last shuffle.
     """
     q = decay(signal_span)
-    length = min(max_slice, _longest(q))
-
-    def power(exponent: Column) -> Column:
-        return F.pow(F.lit(q), exponent)
-
     order = PairOrder.of(targets, **limits)
-    n_slices = math.ceil(targets.n_shops * targets.n_items / length)
-    carried = _carried(order.place(panel.clipped_cells(), length), q, length, n_slices)
-    down = _so_far("_slice", order="_off")
-    own = [
-        F.sum(F.get("_x", F.lit(m)) * power(-F.col("_off"))).over(down)
-        for m in range(panel.n_blocks)
-    ]
-    bottom = (F.lit(1.0) - power(F.col("_pos") + 1)) / (1.0 - q)
+    n_slices = math.ceil(targets.n_shops * targets.n_items / max_slice)
+    carried = _carried(order.place(panel.clipped_cells(), max_slice), q, max_slice, n_slices)
+    months = _Months(panel.n_blocks, panel.bounds)
+    short, _, long = spans
+
+    def down(batches: Batches) -> Batches:
+        state, start = np.zeros(months.n_blocks), None
+        for piece, values in months.pieces(batches):
+            place = piece.column("_off").to_numpy()
+            pairs = np.flatnonzero(place != CARRIED)
+            sums, clipped = np.empty_like(values), months.clipped(values)
+            for row, off in enumerate(place.tolist()):
+                if off == CARRIED:
+                    start = values[row]
+                    continue
+                if off == 0:
+                    state = np.zeros(months.n_blocks) if start is None else start
+                    start = None
+                sums[row] = state = state * q + clipped[row]
+            piece, sums, clipped = piece.take(pa.array(pairs)), sums[pairs], clipped[pairs]
+            rank = piece.column("_pos").to_numpy().astype(float)
+            weights = -np.expm1((rank + 1) * math.log(q)) / (1.0 - q) if q else np.ones(len(rank))
+            averages = _averages(np.ascontiguousarray(clipped.T), spans)
+            signal = _averages(np.ascontiguousarray((sums / weights[:, None]).T), [short, long])
+            found = [*averages, averages[0] - averages[2], signal[0] - signal[1]]
+            yield months.rows(piece, dict(zip(NAMES, found, strict=True)))
+
+    with_package(panel.series.sparkSession)
+    placed = order.place(panel.series.select(*PAIR, *months.columns()), max_slice)
     sliced = (
-        order.place(panel.series, length)
-        .repartition("_slice")
-        .join(carried, "_slice", "left")
-        .withColumn("_x", panel.months())
-        .withColumn("_own", F.array(*own))
-        .withColumn("_shrink", power(F.col("_off")) / bottom)
-    )
-    months = F.sequence(F.lit(0), F.lit(panel.n_blocks - 1))
-
-    def signal_input(month: Column) -> Column:
-        earlier = F.coalesce(F.try_element_at("_carried", month), F.lit(0.0))
-        return (F.get("_own", month) + earlier * F.lit(q)) * F.col("_shrink")
-
-    short, middle, long = spans
-    df = sliced.select(*PAIR, "_x", F.transform(months, signal_input).alias("_y")).withColumns(
-        {
-            "ema_s": averages(F.col("_x"), short),
-            "ema_m": averages(F.col("_x"), middle),
-            "ema_l": averages(F.col("_x"), long),
-            "_sig_s": averages(F.col("_y"), short),
-            "_sig_l": averages(F.col("_y"), long),
-        }
-    )
-    df = df.withColumns(
-        {"macd": _difference("ema_s", "ema_l"), "sig": _difference("_sig_s", "_sig_l")}
+        placed.unionByName(carried, allowMissingColumns=True)
+        .repartition(targets.tasks(panel.n_blocks), "_slice")
+        .sortWithinPartitions("_slice", "_off")
+        .select(*PAIR, "_off", "_pos", "_blocks", "_counts")
     )
-    return _published(df, ["ema_s", "ema_m", "ema_l", "macd", "sig"])
+    return sliced.mapInArrow(down, months.schema(sliced, NAMES))

@@ -1,8 +1,10 @@
 """Moving averages against plain recurrences."""
 
 import random
+import time
 from dataclasses import replace
 
+import numpy as np
 import pytest
 
 from panelforge.operators import panel, trend
@@ -107,3 +109,45 @@ def test_down_the_pairs_with_ranked_ranges(filled):
     assert a.keys() == b.keys()
     for key in a:
         assert a[key]["cnt_sig_prev"] == pytest.approx(b[key]["cnt_sig_prev"], abs=1e-12)
+
+
+def test_cost_is_linear_in_the_months():
+    """Time per value does not grow with the number of months."""
+
+    def seconds(months, pairs):
+        values = np.ones((months, pairs))
+        start = time.perf_counter()
+        trend._averages(values, (4, 12, 26))
+        return time.perf_counter() - start
+
+    seconds(80, 1000)
+    short = min(seconds(80, 2500) for _ in range(5))
+    assert min(seconds(2000, 2500) for _ in range(3)) < 2.5 * 25 * short
+
+
+def test_scan_of_far_reaching_totals(spark):
+    """Span 10,000 over a thousand slices: few copies of a total, equal to the recurrence."""
+    n, q = 1000, trend.decay(10_000) ** 1024
+    rng = random.Random(5)
+    totals = {(s, m): rng.uniform(0, 9) for s in range(n) for m in range(3) if rng.random() < 0.3}
+    df = spark.createDataFrame(
+        [(s, m, v) for (s, m), v in totals.items()], f"_slice long, {panel.BLOCK} int, _total double"
+    )
+    found = trend.decayed_totals(df, q, n)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 10
+    got = by_key(found, "_slice", panel.BLOCK)
+    for m in range(3):
+        state = 0.0
+        for s in range(n):
+            state = state * q + totals.get((s, m), 0.0)
+            mine = got[(s, m)]["_total"] if (s, m) in got else 0.0
+            assert mine == pytest.approx(state, rel=1e-12)
+    assert max(s for s, _ in got) == n - 1
+
+
+def test_pieces_may_end_anywhere(filled, monkeypatch):
+    """A slice that is worked on in several pieces keeps its sums."""
+    whole = by_key(trend.trend_pair_signal(*filled), *KEY)
+    monkeypatch.setattr(trend, "PIECE_ROWS", 2 * N)
+    assert by_key(trend.trend_pair_signal(*filled), *KEY) == whole
