@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.constants import LAGS
-from panelforge.operators.panel import BLOCK, PAIR, Panel, with_blocks
+from panelforge.operators.panel import BLOCK, PAIR, Panel
 
 
 def lags(panel: Panel, steps: Sequence[int] = LAGS) -> DataFrame:
@@ -26,4 +26,4 @@ def lags(panel: Panel, steps: Sequence[int] = LAGS) -> DataFrame:
             F.when(past >= 0, panel.count(past)).alias(f"cnt_prev{suffix}"),
             F.when(past >= 0, panel.order(past)).alias(f"order_prev{suffix}"),
         ]
-    return with_blocks(panel.series, 1, panel.n_blocks).select(BLOCK, *PAIR, *columns)
+    return panel.rows(1, panel.n_blocks).select(BLOCK, *PAIR, *columns)

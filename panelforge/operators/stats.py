@@ -27,8 +27,8 @@ def shop_item_stats(panel: Panel) -> DataFrame:
     orders = total(F.transform(sold, lambda c: c["item_order"]), F.lit(0).cast("long"))
     base = panel.series.select(
         *PAIR,
-        F.coalesce(counts, F.array().cast("array<double>")).alias("_counts"),
-        F.coalesce(orders, F.lit(0).cast("long")).alias("_orders"),
+        counts.alias("_counts"),
+        orders.alias("_orders"),
     ).withColumn("_empty", F.lit(n) - F.size("_counts"))
     months = F.array_sort(
         F.concat("_counts", F.array_repeat(F.lit(empty_value), F.col("_empty")))

@@ -60,10 +60,8 @@ class _Months:
 
     def columns(self) -> list[Column]:
         """The non-empty months of a pair and their sales."""
-        blocks = F.coalesce(F.map_keys("history"), F.array().cast("array<int>"))
         counts = F.transform(F.map_values("history"), lambda cell: cell["item_cnt"])
-        counts = F.coalesce(counts, F.array().cast("array<double>"))
-        return [blocks.alias("_blocks"), counts.alias("_counts")]
+        return [F.map_keys("history").alias("_blocks"), counts.alias("_counts")]
 
     def pieces(self, batches: Batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         """Some rows of a batch with their sales before clipping, a row per pair."""
@@ -97,7 +95,7 @@ class _Months:
 
 
 def _scatter(values: np.ndarray, blocks: pa.Array, numbers: pa.Array) -> None:
-    """Put each row's numbers at its months; a null row has none."""
+    """Put each row's numbers at its months."""
     counts = np.diff(blocks.offsets.to_numpy())
     row = np.repeat(np.arange(len(counts)), counts)
     values[row, blocks.flatten().to_numpy()] = numbers.flatten().to_numpy()

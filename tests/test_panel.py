@@ -43,6 +43,15 @@ def test_monthly(small):
     assert cell(0, 1, 11) == (0, 1)  # pair not among the targets
 
 
+def test_months_of_full_and_empty_histories(spark):
+    """Cells in any order, at both ends, and gaps of any length."""
+    blocks = {1: [5, 0, 3, 2], 2: [], 3: [0, 1, 2, 3, 4, 5], 4: [4]}
+    rows = [(m, s, 10, m + 1, 1.0) for s, months in blocks.items() for m in months]
+    made, _ = small_panel(spark, rows, [(s, 10) for s in blocks], 6)
+    for row in made.series.select("shop_id", made.months().alias("x")).collect():
+        assert row["x"] == [m + 1 if m in blocks[row["shop_id"]] else 0 for m in range(6)]
+
+
 def test_total_before_clipping_is_kept(small):
     raw = small[0].cells.agg(F.sum("item_cnt"), F.sum("item_order")).first()
     assert tuple(raw) == (5 + 1 - 4 + 15 + 16 + 3, 6)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelforge.operators import lags, panel, stats, trend
 from panelforge.plans import catalog
 from panelforge.sources import order_lines
+from small import sales_frame
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -52,6 +53,33 @@ def test_stored_panel_shuffles_pairs_not_months(spark, built):
     assert "Exchange" not in plan and "Sort" not in plan
 
 
+def test_pairs_are_grouped_where_they_are_made(spark, built):
+    """Only the sides of the product and the cells are shuffled, with broadcasts or without."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (kept, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            plan = plan_of(panel.monthly(built[0]))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        assert "Exchange" not in above(plan, "Union")
+        assert plan.count("REPARTITION_BY_NUM") == 3
+        pairs = plan[plan.index("SortMergeJoin [_key#") :]
+        assert pairs.count("Exchange hashpartitioning") == 2
+
+
+def test_pairs_are_spread(spark):
+    """The series of a panel, which unfolds into dense rows, in tasks of about the same size."""
+    pairs = spark.range(3000).select(
+        F.col("id").alias("ID"), (F.col("id") % 25).alias("shop_id"), F.col("id").alias("item_id")
+    )
+    targets = panel.load_targets(pairs)
+    rows = rows_by_partition(panel.build_panel(sales_frame(spark, []), targets, 12).series)
+    assert sum(rows) == 25 * 3000
+    assert len(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(rows) < 2 * sum(rows) / len(rows)
+
+
 def test_no_nested_loops(built):
     for df in (
         panel.monthly(built[0]),
