@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelforge.constants import CLIP, DEDUP_KEYS, N_BLOCKS
 from panelforge.functions.columns import clip
-from panelforge.operators.clean import drop_repeats, keep_known
+from panelforge.operators.clean import drop_repeats, keep_known_long
 from panelforge.session import materialize
 
 BLOCK = "date_block_num"
@@ -80,6 +80,16 @@ def load_targets(pairs: DataFrame) -> Targets:
     return Targets(materialize(pairs, "targets"))
 
 
+def target_sales(sales: DataFrame, targets: Targets) -> DataFrame:
+    """Sales of target shops and target items.
+
+    Short key lists are broadcast. With long ones a filter made from both lists runs at the
+    scan, and Spark can split the sales of a popular item in the exact join.
+    """
+    kept = keep_known_long(sales, targets.items, "item_id", targets.n_items)
+    return keep_known_long(kept, targets.shops, "shop_id", targets.n_shops)
+
+
 def monthly_cells(
     sales: DataFrame,
     targets: Targets,
@@ -89,11 +99,9 @@ def monthly_cells(
     """Non-empty cells of the panel: de-duplicated sales per month, shop and item.
 
     The filters on month, shop and item come first, so the shuffle by all five keys moves
-    only rows that stay. Short key lists are broadcast; with long ones Spark can split the
-    sales of a popular item in the join.
+    only rows that stay.
     """
-    wanted = sales.where(F.col(BLOCK).between(0, n_blocks - 1))
-    wanted = keep_known(keep_known(wanted, targets.items, "item_id"), targets.shops, "shop_id")
+    wanted = target_sales(sales.where(F.col(BLOCK).between(0, n_blocks - 1)), targets)
     return (
         drop_repeats(wanted, DEDUP_KEYS)
         .groupBy(BLOCK, *PAIR)

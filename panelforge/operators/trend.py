@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from panelforge.constants import EMA_SPANS, SIGNAL_SPAN
 from panelforge.operators.ordering import dense_positions
 from panelforge.operators.panel import BLOCK, PAIR, Panel, Targets
-from panelforge.session import with_package
+from panelforge.session import materialize, with_package
 
 # Pairs per slice of the pair order.
 MAX_SLICE = 1024
@@ -136,9 +136,23 @@ class PairOrder:
 
     @classmethod
     def of(cls, targets: Targets, **limits: int) -> PairOrder:
+        """Both key lists are ranked in one pass, the items after the shops."""
+        shops, items = (
+            keys.select(F.lit(k).alias("_list"), F.col(name).alias("_id"))
+            for k, (name, keys) in enumerate(zip(PAIR, (targets.shops, targets.items), strict=True))
+        )
+        ranks = dense_positions(shops.unionByName(items), ["_list", "_id"], "_rank", **limits)
+        ranks = materialize(ranks, "ranks")
+
+        def ranked(k: int, keys: DataFrame, pos: Column, out: str) -> DataFrame:
+            (name, kind), *_ = keys.dtypes
+            own = ranks.where(F.col("_list") == k)
+            return own.select(F.col("_id").cast(kind).alias(name), pos.alias(out))
+
+        item_pos = F.col("_rank") - F.lit(targets.n_shops)
         return cls(
-            dense_positions(targets.shops, ["shop_id"], "_shop_pos", **limits),
-            dense_positions(targets.items, ["item_id"], "_item_pos", **limits),
+            ranked(0, targets.shops, F.col("_rank"), "_shop_pos"),
+            ranked(1, targets.items, item_pos, "_item_pos"),
             targets.n_items,
         )
 

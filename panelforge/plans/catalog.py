@@ -53,8 +53,7 @@ def _panel(spark: SparkSession, folder: str, targets: Targets, measures=COUNTS)
 
 def _kept_sales(sales: DataFrame, targets: Targets) -> DataFrame:
     """Sales of target shops and items without repeats."""
-    kept = clean.keep_known(sales, targets.items, "item_id")
-    return clean.drop_repeats(clean.keep_known(kept, targets.shops, "shop_id"))
+    return clean.drop_repeats(panels.target_sales(sales, targets))
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:

@@ -106,20 +106,39 @@ def test_key_filters_run_before_the_aggregation(built):
     assert plan.index("LeftSemi") > plan.rindex("Exchange hashpartitioning")
 
 
-def test_long_key_lists_filter_before_the_shuffle_by_all_keys(spark, built):
-    """Without broadcasts too, only the sales that stay are shuffled by the five keys."""
+def without_broadcasts(spark, make):
+    """What ``make`` returns while no side of a join may be broadcast."""
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        cells = panel.monthly_cells(
-            order_lines.read_sales(spark, FOLDER), built[1], 82, panel.COUNTS
-        )
-        plan = plan_of(cells)
-        rows = cells.count()
+        return make()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
-    assert plan.rindex("HashAggregate") < plan.index("LeftSemi")
+
+
+def test_long_key_lists_filter_before_any_shuffle(spark, built):
+    """Without broadcasts a filter made from the keys runs before the first shuffle of sales,
+    and exact semi joins before the one by all five keys."""
+    sales = order_lines.read_sales(spark, FOLDER)
+
+    def make():
+        cells = panel.monthly_cells(sales, built[1], 82, panel.COUNTS)
+        return plan_of(cells), cells.count()
+
+    plan, rows = without_broadcasts(spark, make)
     assert rows == built[0].cells.count()
+    lines = plan.splitlines()
+    first = next(i for i, line in enumerate(lines) if "Filter" in line and "l_shipdate" in line)
+    assert "Subquery subquery#" in lines[first] and "shiftleft(1" in lines[first]
+    # The shop comes from the supplier, and so is filtered at that scan.
+    assert any("Filter" in x and "s_nationkey" in x and "shiftleft(1" in x for x in lines)
+    assert "Exchange hashpartitioning(l_suppkey" in lines[first - 1]
+    semi = [i for i, line in enumerate(lines) if "LeftSemi" in line]
+    assert len(semi) == 2 and max(semi) < first
+
+
+def test_short_key_lists_need_no_filter(built):
+    assert "shiftleft(" not in plan_of(built[0].cells)
 
 
 def test_aggregates_combine_before_the_shuffle(built):
