@@ -4,48 +4,163 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.constants import HEAD_ROWS, QUARTILES, TOP_K
-from panelforge.operators.ordering import running_total
 from panelforge.operators.panel import Panel, Targets
 from panelforge.session import materialize
 
+# Parts that a pass of the search for quartiles cuts a range into.
+BUCKETS = 4096
+
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """How often each value occurs, per column; missing values left out."""
+    """How often each value occurs, per column; missing values and NaN left out."""
     cast = df.select(*[F.col(name).cast("double").alias(name) for name in columns])
     return (
         cast.unpivot([], list(columns), "column", "value")
-        .where(F.col("value").isNotNull())
+        .where(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def describe_counts(counts: DataFrame, columns: Sequence[str], **limits: int) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles from value counts.
+@dataclass
+class _Rank:
+    """A place in a column's sorted values, and the values between which it is known to lie.
+
+    ``at`` counts from the first value of that range.
+    """
+
+    column: str
+    at: int
+    low: float
+    high: float
+
+
+def _scale(low: float, high: float) -> float:
+    """What keeps the width of a range finite; 0 for a range that ends at infinity, whose ends
+    are parts of their own."""
+    if math.isinf(low) or math.isinf(high):
+        return 0.0
+    return 0.5 if math.isinf(high - low) else 1.0
+
+
+def _narrowed(counts: DataFrame, ranks: list[_Rank], buckets: int) -> list[_Rank]:
+    """One pass over the value counts: the ranges cut into ``buckets``, and which hold the ranks.
+
+    A bucket's own least and largest value are the next range, so a bucket with one value
+    ends the search, and a range with two has at least two buckets that are not empty.
+    """
+    ranges = sorted({(r.column, r.low, r.high) for r in ranks})
+    spans = F.array(
+        *[
+            F.struct(
+                F.lit(column).alias("column"),
+                F.lit(low).cast("double").alias("low"),
+                F.lit(high).cast("double").alias("high"),
+                F.lit(_scale(low, high)).alias("scale"),
+            )
+            for column, low, high in ranges
+        ]
+    )
+    at, value = F.col("_span"), F.col("value")
+    low, high = at["low"] * at["scale"], at["high"] * at["scale"]
+    share = F.try_divide(value * at["scale"] - low, high - low)
+    inside = counts.withColumn("_span", F.explode(spans)).where(
+        (F.col("column") == at["column"]) & value.between(at["low"], at["high"])
+    )
+    ends = F.when(value == at["low"], 0).when(value == at["high"], 2).otherwise(1)
+    bucket = F.when(at["scale"] == 0, ends).otherwise(
+        F.least(F.floor(share * buckets), F.lit(buckets - 1))
+    )
+    # A row per range and bucket that is not empty.
+    found = (
+        inside.groupBy("_span", bucket.alias("_bucket"))
+        .agg(F.sum("n").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .collect()
+    )
+    by_range: dict[tuple, list] = {}
+    for row in found:
+        by_range.setdefault(tuple(row["_span"])[:3], []).append(row)
+    out = []
+    for rank in ranks:
+        at = rank.at
+        for row in sorted(by_range[rank.column, rank.low, rank.high], key=lambda r: r["_bucket"]):
+            if at < row["rows"]:
+                out.append(_Rank(rank.column, at, row["low"], row["high"]))
+                break
+            at -= row["rows"]
+    return out
+
+
+def values_at(counts: DataFrame, wanted: list[_Rank], buckets: int = BUCKETS) -> list[float]:
+    """The exact values at ranks, by histograms that narrow each rank's range.
+
+    Every pass cuts the ranges of all ranks by ``buckets``, without sorting and with sums
+    combined before the shuffle; two or three passes are usual.
+    """
+    ranks = list(wanted)
+    while still := [i for i, r in enumerate(ranks) if r.low != r.high]:
+        for i, rank in zip(still, _narrowed(counts, [ranks[i] for i in still], buckets), strict=True):
+            ranks[i] = rank
+    return [r.low for r in ranks]
 
-    A column without values has the count 0 and nothing else.
 
-    Quartiles interpolate between the two neighbouring ranks. The ranks come from running
-    totals over the sorted distinct values, so no task holds all values of a column.
-    ``counts`` is read several times, so it should come from a written table.
+def describe_counts(
+    counts: DataFrame, columns: Sequence[str], buckets: int = BUCKETS
+) -> DataFrame:
+    """Count, mean, sample deviation, extremes and exact quartiles from value counts.
+
+    A column without values has the count 0 and nothing else. Quartiles interpolate between
+    the two neighbouring ranks. ``counts`` is read several times, so it should come from a
+    written table.
     """
     weighted = F.col("value") * F.col("n")
     # One row per described column.
     overview = {
         row["column"]: row
         for row in counts.groupBy("column")
-        .agg(F.sum("n").alias("rows"), (F.sum(weighted) / F.sum("n")).alias("mean"))
+        .agg(
+            F.sum("n").alias("rows"),
+            (F.sum(weighted) / F.sum("n")).alias("mean"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+        )
         .collect()
     }
-    found = (
-        running_total(counts, ["column", "value"], F.col("n"), "_before", **limits)
-        .groupBy("column")
-        .agg(*_summary(overview, _first_rank(overview)))
+    ranks, places = [], {}
+    for name, row in overview.items():
+        for share in QUARTILES:
+            at = share * (row["rows"] - 1)
+            places[name, share] = (len(ranks), at - math.floor(at))
+            ranks += [
+                _Rank(name, whole, row["low"], row["high"])
+                for whole in (math.floor(at), math.ceil(at))
+            ]
+    values = values_at(counts, ranks, buckets)
+    quartiles = {}
+    for (name, share), (i, part) in places.items():
+        below, above = values[i], values[i + 1]
+        quartiles[name, share] = below if below == above else below + (above - below) * part
+    mean = _per_column({name: row["mean"] for name, row in overview.items()}, "double")
+    squares = F.sum(F.col("n") * F.pow(F.col("value") - mean, F.lit(2.0)))
+    n = F.sum("n")
+    found = counts.groupBy("column").agg(
+        n.alias("count"),
+        (F.sum(weighted) / n).alias("mean"),
+        F.when(n > 1, F.sqrt(squares / (n - 1))).alias("std"),
+        F.min("value").alias("min"),
+        *[
+            F.max(
+                _per_column({name: quartiles[name, share] for name in overview}, "double")
+            ).alias(f"q{round(share * 100)}")
+            for share in QUARTILES
+        ],
+        F.max("value").alias("max"),
     )
     named = counts.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(name) for name in columns])).alias("column")
@@ -53,15 +168,6 @@ def describe_counts(counts: DataFrame, columns: Sequence[str], **limits: int) ->
     return named.join(found, "column", "left").fillna(0, ["count"])
 
 
-def _first_rank(overview: dict) -> dict[str, int]:
-    """Rows of the columns sorted before each column."""
-    first, seen = {}, 0
-    for name in sorted(overview):
-        first[name] = seen
-        seen += overview[name]["rows"]
-    return first
-
-
 def _per_column(values: dict[str, float], kind: str):
     chosen = F.lit(None).cast(kind)
     for name, value in values.items():
@@ -69,36 +175,6 @@ def _per_column(values: dict[str, float], kind: str):
     return chosen
 
 
-def _summary(overview: dict, first: dict[str, int]) -> list:
-    n = F.sum("n")
-    mean = _per_column({name: row["mean"] for name, row in overview.items()}, "double")
-    squares = F.sum(F.col("n") * F.pow(F.col("value") - mean, F.lit(2.0)))
-    quartiles = []
-    for share in QUARTILES:
-        low, high, part = {}, {}, {}
-        for name, row in overview.items():
-            at = share * (row["rows"] - 1)
-            low[name] = first[name] + math.floor(at)
-            high[name] = first[name] + math.ceil(at)
-            part[name] = at - math.floor(at)
-
-        def value_at(rank):
-            here = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("n"))
-            return F.max(F.when(here, F.col("value")))
-
-        below, above = value_at(_per_column(low, "long")), value_at(_per_column(high, "long"))
-        step = F.max(_per_column(part, "double"))
-        quartiles.append((below + (above - below) * step).alias(f"q{round(share * 100)}"))
-    return [
-        n.alias("count"),
-        (F.sum(F.col("value") * F.col("n")) / n).alias("mean"),
-        F.when(n > 1, F.sqrt(squares / (n - 1))).alias("std"),
-        F.min("value").alias("min"),
-        *quartiles,
-        F.max("value").alias("max"),
-    ]
-
-
 def describe(df: DataFrame, *columns: str, **limits: int) -> DataFrame:
     """One row per column of ``df`` named."""
     return describe_counts(materialize(value_counts(df, columns), "counts"), columns, **limits)

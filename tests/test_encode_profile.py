@@ -67,7 +67,7 @@ def test_running_total(spark, limits):
     assert list(got["t"]) == list(got["w"].cumsum() - got["w"])
 
 
-@pytest.mark.parametrize("limits", LIMITS)
+@pytest.mark.parametrize("limits", [{}, {"buckets": 2}])
 def test_describe_matches_pandas(spark, limits):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame(
@@ -83,6 +83,36 @@ def test_describe_matches_pandas(spark, limits):
             assert got[(column,)][mine] == pytest.approx(wanted.loc[theirs, column])
 
 
+@pytest.mark.parametrize("buckets", [2, 3, 4096])
+def test_values_at_any_rank(spark, buckets):
+    """Equal, close, huge and skewed values; every rank is the one of the sorted list."""
+    draw = np.random.default_rng(7)
+    lists = {
+        "close": (1.0 + np.arange(40) * 2.0**-52).tolist(),
+        "huge": [-1.7e308, 1.7e308, 0.0, 1e-300, -1e-300, 5e-324, 1e300] * 3,
+        "equal": [3.25] * 50,
+        "infinite": [-np.inf, -np.inf, 1.0, 2.0, 5.0, np.inf],
+        "skewed": np.exp(draw.normal(0, 20, 300)).tolist() + [0.0] * 200,
+    }
+    rows = [(name, v) for name, values in lists.items() for v in values]
+    df = spark.createDataFrame([(c, float(v)) for c, v in rows], "column string, value double")
+    counts = df.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).cache()
+    ranks = [
+        profile._Rank(name, k, min(values), max(values))
+        for name, values in lists.items()
+        for k in range(0, len(values), 1 + len(values) // 6)
+    ]
+    wanted = [sorted(lists[r.column])[r.at] for r in ranks]
+    assert profile.values_at(counts, ranks, buckets) == wanted
+
+
+def test_describe_sorts_nothing(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003 / 3).alias("v"))
+    made = profile.describe(df, "v")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "rangepartitioning" not in plan and "Window" not in plan
+
+
 def test_describe_keeps_a_column_without_values(spark):
     none = F.lit(None).cast("double").alias("none")
     for df in (spark.range(0).select("id", none), spark.range(3).select("id", none)):
