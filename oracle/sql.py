@@ -316,6 +316,13 @@ ORACLES = {
         + " FROM item_cats",
         "item_cats",
     ),
+    "item_group_onehot_sparse": _with(
+        """SELECT item_category_name, item_category_id,
+                  (SELECT max(CAST(item_group AS BIGINT)) FROM cat_groups) AS length,
+                  CAST(item_group AS BIGINT) AS place
+           FROM cat_groups""",
+        "cat_groups",
+    ),
     "join_item_group": _with(
         f"""SELECT {KEYS}, {_r('item_cnt')}, item_order, {CATEGORY}, item_name, {GROUP}
             FROM monthly LEFT JOIN coded_items USING (item_id)""",
@@ -375,6 +382,16 @@ ORACLES = {
         "monthly",
         "coded_items",
     ),
+    "pivot_group_sparse": _with(
+        f"""SELECT date_block_num, item_group, {_r("sum(item_cnt)", "item_cnt")}
+            FROM monthly JOIN coded_items USING (item_id)
+            WHERE item_group IS NOT NULL AND (date_block_num, shop_id, item_id) IN
+                  (SELECT (date_block_num, shop_id, item_id) FROM clean)
+            GROUP BY date_block_num, item_group""",
+        "monthly",
+        "coded_items",
+        "clean",
+    ),
     "trend": _with(f"SELECT {TREND} FROM macds", "macds"),
     "trend_signal_time": _with(
         f"""SELECT {TREND}, {_r('sig', 'cnt_sig_prev')}
@@ -416,6 +433,24 @@ ORACLES = {
         "targets",
         "prices",
     ),
+    "price_coverage": _with(
+        """SELECT shop_id, item_id, t.item_id IS NOT NULL AS is_target,
+                  p.item_id IS NOT NULL AS is_priced,
+                  CASE WHEN t.item_id IS NULL THEN 'no target'
+                       WHEN p.kind IS NOT NULL THEN p.kind
+                       WHEN item_id IN (SELECT item_id FROM prices) THEN 'elsewhere'
+                       ELSE 'unknown item' END AS status
+           FROM targets t FULL JOIN (
+               SELECT shop_id, item_id, 'known' AS kind FROM last_prices
+               UNION ALL
+               SELECT shop_id, item_id, 'predicted' FROM targets JOIN items USING (item_id)
+               WHERE item_id NOT IN (SELECT item_id FROM prices)
+           ) p USING (shop_id, item_id)""",
+        "targets",
+        "items",
+        "prices",
+        "last_prices",
+    ),
     "item_mean_price": _with(
         f"""SELECT t.shop_id, t.item_id, {_r('avg(p.item_price)', 'item_price')}
             FROM targets t LEFT JOIN prices p ON p.item_id = t.item_id

@@ -112,3 +112,20 @@ def keep_unknown(df: DataFrame, known: DataFrame, column: str) -> DataFrame:
     Known values are made distinct first, so a value with very many rows is one row.
     """
     return df.join(known.select(column).distinct(), column, "left_anti")
+
+
+def reconcile(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], names: tuple[str, str]
+) -> DataFrame:
+    """All ``keys`` of two tables, with the number of rows that each table has of them.
+
+    A full outer comparison as one aggregate: repeated keys are counted before the shuffle,
+    and NULL keys meet each other.
+    """
+
+    def counted(df: DataFrame, own: int) -> DataFrame:
+        flags = [F.lit(int(k == own)).cast("long").alias(name) for k, name in enumerate(names)]
+        return df.select(*keys, *flags)
+
+    both = counted(left, 0).unionByName(counted(right, 1))
+    return both.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in names])

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import city_word, group_word
 from panelforge.operators.ordering import dense_positions
+from panelforge.session import materialize
+
+# Values that may become columns of a table.
+MAX_COLUMNS = 20_000
 
 
 def with_label_code(df: DataFrame, label: Column, out: str, **limits: int) -> DataFrame:
@@ -49,12 +55,17 @@ def label_words(item_cats: DataFrame, shops: DataFrame) -> DataFrame:
     return groups.unionByName(cities).distinct()
 
 
-def distinct_values(df: DataFrame, column: str) -> list:
+def distinct_values(df: DataFrame, column: str, limit: int = MAX_COLUMNS) -> list:
     """Sorted distinct non-NULL values of a column that is about to become column names.
 
-    A table has its column names in its schema on the driver, so the names go there too.
+    A table has its column names in its schema on the driver, so the names go there too. With
+    more than ``limit`` a table of so many columns is no use, and this raises: the sparse
+    forms (``one_hot_vector``, ``reshape.pivot_sum_map``) have no such limit.
     """
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    rows = values.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} values of {column} for columns; use a sparse form")
     return sorted(row[0] for row in rows)
 
 
@@ -71,3 +82,23 @@ def one_hot(
         f"{prefix}_{value}": (F.col("_label") == F.lit(value)).cast("int") for value in kept
     }
     return labelled.withColumns(indicators).drop("_label")
+
+
+def one_hot_vector(df: DataFrame, label: Column, out: str, **limits: int) -> DataFrame:
+    """The same indicators as one sparse vector: 1 at the place of the label's code minus 1.
+
+    The first label and a missing one have none. Codes come from a global order, so no label
+    passes through the driver, which only learns how many there are.
+    """
+    coded = materialize(with_label_code(df, label, "_code", **limits), "codes")
+    last = coded.agg(F.max("_code").alias("last")).first()["last"]
+    if not last:
+        return coded.drop("_code").withColumn(out, array_to_vector(F.array().cast("array<double>")))
+    # Beyond all codes: the encoder keeps that apart, and leaves the last place out.
+    none = F.lit(last)
+    place = F.when(F.col("_code") > 0, F.col("_code") - 1).otherwise(none).cast("double")
+    encoder = OneHotEncoder(
+        inputCols=["_place"], outputCols=[out], dropLast=True, handleInvalid="keep"
+    )
+    sizes = df.sparkSession.range(1).select(F.lit(float(last - 1)).alias("_place"))
+    return encoder.fit(sizes).transform(coded.withColumn("_place", place)).drop("_code", "_place")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import discount_rate
-from panelforge.operators.clean import keep_unknown
+from panelforge.operators.clean import keep_known, keep_unknown, reconcile
 from panelforge.operators.panel import BLOCK, PAIR
 
 
@@ -53,3 +53,29 @@ def item_mean_price(targets: DataFrame, price: DataFrame) -> DataFrame:
     """Target pairs with the mean over the item's prices, NULL where it has none."""
     means = price.groupBy("item_id").agg(F.avg("item_price").alias("item_price"))
     return targets.select(*PAIR).join(means, "item_id", "left").select(*PAIR, "item_price")
+
+
+def price_coverage(targets: DataFrame, price: DataFrame, items: DataFrame) -> DataFrame:
+    """Which pairs get a target price, and which of them are targets; one row per pair.
+
+    ``status`` is ``known`` or ``predicted`` for a target with a price; ``elsewhere`` for one
+    without, whose item has a price in another shop only; ``unknown item`` for one whose item
+    has no price and no row in ``items``; ``no target`` for a priced pair nobody asked for.
+    """
+    predicted = keep_known(unpriced_pairs(targets, price), items, "item_id")
+    priced = price.select(*PAIR).unionByName(predicted.select(*PAIR))
+    both = reconcile(targets, priced, PAIR, ("n_targets", "n_prices"))
+    sold = price.select("item_id").distinct().withColumn("_item_priced", F.lit(True))
+    found = both.join(sold, "item_id", "left")
+    is_target, is_priced = F.col("n_targets") > 0, F.col("n_prices") > 0
+    item_priced = F.coalesce("_item_priced", F.lit(False))
+    status = (
+        F.when(~is_target, "no target")
+        .when(is_priced & item_priced, "known")
+        .when(is_priced, "predicted")
+        .when(item_priced, "elsewhere")
+        .otherwise("unknown item")
+    )
+    return found.select(
+        *PAIR, is_target.alias("is_target"), is_priced.alias("is_priced"), status.alias("status")
+    )

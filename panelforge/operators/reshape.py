@@ -18,6 +18,18 @@ def pivot_sum(
     return wide.na.fill(0.0, [str(name) for name in names])
 
 
+def pivot_sum_map(
+    df: DataFrame, index: Sequence[str], columns: str, values: str, out: str
+) -> DataFrame:
+    """The same with one map per index, from the entries of ``columns`` that occur to sums.
+
+    For any number of entries: they stay data and need not be known before.
+    """
+    sums = df.groupBy(*index, columns).agg(F.sum(values).alias("_sum"))
+    entry = F.struct(F.col(columns), F.col("_sum"))
+    return sums.groupBy(*index).agg(F.map_from_entries(F.collect_list(entry)).alias(out))
+
+
 def pivot_monthly(panel: Panel) -> DataFrame:
     """One row per pair, one column per month; read off the series, no shuffle of its own."""
     months = [F.get("_months", F.lit(m)).alias(str(m)) for m in range(panel.n_blocks)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.columns import clip
 from panelforge.operators.encode import distinct_values
 from panelforge.operators.panel import BLOCK, PAIR, Panel, Targets, product, with_blocks
-from panelforge.operators.reshape import pivot_sum
+from panelforge.operators.reshape import pivot_sum, pivot_sum_map
 
 
 def shop_item_stats(panel: Panel) -> DataFrame:
@@ -123,3 +123,8 @@ def pivot_group(panel: Panel, targets: Targets, items: DataFrame) -> DataFrame:
         .join(sums, BLOCK, "left")
         .na.fill(0.0, [str(group) for group in groups])
     )
+
+
+def pivot_group_map(panel: Panel, items: DataFrame) -> DataFrame:
+    """Clipped sales per month as one map by item group; groups without sales are left out."""
+    return pivot_sum_map(_group_cells(panel, items), [BLOCK], "item_group", "item_cnt", "sales")

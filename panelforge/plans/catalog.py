@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,6 +208,18 @@ def item_group_onehot(spark: SparkSession, folder: str) -> DataFrame:
     return encode.one_hot(cats, group_word(F.col("item_category_name")), "item_group")
 
 
+def item_group_onehot_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """The sparse form of the same, shown as length and place of the 1, 0 for none."""
+    cats = source.read_item_cats(spark, folder)
+    made = encode.one_hot_vector(cats, group_word(F.col("item_category_name")), "_vector")
+    values = vector_to_array("_vector")
+    return made.select(
+        *cats.columns,
+        F.size(values).cast("long").alias("length"),
+        F.array_position(values, 1.0).cast("long").alias("place"),
+    )
+
+
 def join_item_group(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
     panel = _panel(spark, folder, targets)
@@ -285,6 +298,14 @@ def pivot_group(spark: SparkSession, folder: str) -> DataFrame:
     return stats.pivot_group(panel, targets, _items(spark, folder))
 
 
+def pivot_group_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of the sparse form: one row per month and group with sales."""
+    targets = _targets(spark, folder)
+    panel = _panel(spark, folder, targets, SOLD)
+    made = stats.pivot_group_map(panel, _items(spark, folder))
+    return made.select("date_block_num", F.explode("sales").alias("item_group", "item_cnt"))
+
+
 def trend(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
     return rounded(trends.trend(_panel(spark, folder, targets, SOLD), signal_span=None))
@@ -325,6 +346,13 @@ def unpriced_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return prices.unpriced_pairs(targets.pairs, _price(spark, folder, targets))
 
 
+def price_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Which target pairs get a price and which priced pairs are no target."""
+    targets = _targets(spark, folder)
+    price = _stored_price(spark, folder, targets)
+    return prices.price_coverage(targets.pairs, price, _items(spark, folder))
+
+
 def item_mean_price(spark: SparkSession, folder: str) -> DataFrame:
     targets = _targets(spark, folder)
     return rounded(prices.item_mean_price(targets.pairs, _price(spark, folder, targets)))
@@ -416,6 +444,7 @@ QUERIES: dict[str, Query] = {
         label_words,
         items_with_group,
         item_group_onehot,
+        item_group_onehot_sparse,
         join_item_group,
         shop_item_stats,
         shop_group_mean,
@@ -428,6 +457,7 @@ QUERIES: dict[str, Query] = {
         pivot_monthly,
         unpivot_monthly,
         pivot_group,
+        pivot_group_sparse,
         trend,
         trend_signal_time,
         trend_signal_pair,
@@ -436,6 +466,7 @@ QUERIES: dict[str, Query] = {
         last_price,
         item_max_price,
         unpriced_pairs,
+        price_coverage,
         item_mean_price,
         train_price_discount,
         known_price_discount,

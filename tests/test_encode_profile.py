@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import discount_rate
-from panelforge.operators import encode, ordering, profile
+from panelforge.operators import encode, ordering, profile, reshape
 from small import by_key
 
 LIMITS = [{}, {"rows_per_slice": 7}]
@@ -51,8 +51,44 @@ def test_one_hot_drops_the_first(spark):
     assert got[("c",)] == {"w": "c", "g_b": 0, "g_c": 1}
 
 
-def test_label_columns_have_no_limit(spark):
+def test_too_many_label_columns_are_an_error(spark):
     assert encode.distinct_values(spark.range(12_000), "id") == list(range(12_000))
+    with pytest.raises(ValueError, match="sparse"):
+        encode.distinct_values(spark.range(31), "id", limit=30)
+
+
+def test_sparse_indicators_equal_the_columns(spark):
+    words = ["b", "a", "c", None, "d", "b", "a"]
+    df = spark.createDataFrame(list(enumerate(words)), "id int, w string")
+    wide = by_key(encode.one_hot(df, F.col("w"), "g"), "id")
+    sparse = by_key(encode.one_hot_vector(df, F.col("w"), "v"), "id")
+    assert len(sparse) == len(words)
+    for key, row in sparse.items():
+        assert [float(wide[key][f"g_{x}"] or 0) for x in "bcd"] == row["v"].toArray().tolist()
+
+
+def test_sparse_indicators_of_many_labels(spark):
+    n = 100_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("w"), F.lit("x").alias("_place"))
+    made = encode.one_hot_vector(df.drop("_place"), F.lpad(F.col("w").cast("string"), 6, "0"), "v")
+    size = F.udf(lambda v: [v.size, *v.indices.tolist()], "array<int>")
+    wrong = made.where(size("v") != F.when(F.col("w") > 0, F.array(F.lit(n - 1), (F.col("w") - 1).cast("int"))).otherwise(F.array(F.lit(n - 1))))
+    assert made.count() == n and wrong.isEmpty()
+
+
+def test_sparse_indicators_of_few_labels(spark):
+    for words in ([], ["a", "a"], [None]):
+        df = spark.createDataFrame([(w,) for w in words], "w string")
+        got = encode.one_hot_vector(df, F.col("w"), "v").collect()
+        assert [r["v"].toArray().tolist() for r in got] == [[]] * len(words)
+
+
+def test_sparse_pivot_equals_the_columns(spark):
+    rows = [(1, "x", 2.0), (1, "x", 3.0), (1, "y", -1.0), (2, "z", 4.0)]
+    df = spark.createDataFrame(rows, "k int, c string, v double")
+    wide = by_key(reshape.pivot_sum(df, ["k"], "c", "v", ["x", "y", "z"]), "k")
+    for key, row in by_key(reshape.pivot_sum_map(df, ["k"], "c", "v", "m"), "k").items():
+        assert {c: row["m"].get(c, 0.0) for c in "xyz"} == {c: wide[key][c] for c in "xyz"}
 
 
 def test_one_hot_with_labels_given(spark):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from panelforge.operators import impute, prices
+from panelforge.operators import clean, impute, prices
 from small import by_key, small_panel
 
 ROWS = [
@@ -55,6 +55,29 @@ def test_item_mean_price(priced):
     assert len(got) == len(PAIRS)
 
 
+def test_coverage(spark, priced):
+    price, targets = priced
+    got = by_key(prices.price_coverage(targets, price, _items(spark, (10, 11))), *PAIR)
+    assert {k: (v["is_target"], v["is_priced"], v["status"]) for k, v in got.items()} == {
+        (1, 10): (True, True, "known"),
+        (2, 10): (False, True, "no target"),
+        (1, 11): (False, True, "no target"),
+        (2, 11): (True, False, "elsewhere"),
+        (3, 10): (True, False, "elsewhere"),
+        (1, 12): (True, False, "unknown item"),
+        (2, 12): (True, False, "unknown item"),
+    }
+    got = by_key(prices.price_coverage(targets, price, _items(spark)), *PAIR)
+    assert got[(1, 12)]["status"] == "predicted" and got[(1, 12)]["is_priced"]
+
+
+def test_reconcile_counts_rows_and_missing_keys(spark):
+    left = spark.createDataFrame([(1, None), (1, None), (2, 5)], "a int, b int")
+    right = spark.createDataFrame([(1, None), (3, 3)], "a int, b int")
+    got = clean.reconcile(left, right, ["a", "b"], ("n", "m")).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, None, 2, 1), (2, 5, 1, 0), (3, 3, 0, 1)]
+
+
 def test_target_prices(spark, priced):
     price, targets = priced
     wanted = impute.target_price(targets, price, _items(spark))
