@@ -10,7 +10,8 @@ notices below, with words dropped and corpus words around them as in windows of
 lines, and on lines of the corpus and windows of them as the unknown class. On held-out rows
 a temperature makes its probabilities honest, and the probability that a family must reach
 is the one that the best window of few enough held-out corpus lines exceeds. A prediction
-counts if the window also holds most word pairs of a notice of that family; of overlapping
+counts if the window also holds most word pairs of a notice of that family, and all of those
+that tell it from its sisters (GPL, LGPL and AGPL, or the kinds of CC); of overlapping
 ones the most similar counts, then the most probable, then the first.
 
 The training sample is bounded (``CORPUS_LINES`` lines of up to ``LINE_CHARS``
@@ -24,6 +25,7 @@ an id are judged like others; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -40,58 +42,102 @@ from pyspark.sql import functions as F
 from panelforge.llm import spans
 from panelforge.llm.tables import id_and_text, schema
 
-# Notices of licence families; fixed wording.
-NOTICES = {
+# Notices of licence families; fixed wording. What stands in brackets tells a family from its
+# sisters: a window without all of it is no notice of the family, however similar.
+MARKED_NOTICES = {
     "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
-        "software and associated documentation files",
+        "Released under the [MIT License].",
+        "[Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+        "software] and associated documentation files",
     ),
     "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "you may not use this file except in compliance with the License",
+        "Licensed under the [Apache License, Version 2.0].",
+        "[Apache License Version 2.0], January 2004",
+        "[you may not use this file except in compliance with the License]",
     ),
     "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "under the terms of the GNU General Public License as published by the Free Software "
-        "Foundation, either version 3 of the License, or any later version",
+        "This work is licensed under the [GNU General Public License, version 3].",
+        "[GNU General Public License Version 3], 29 June 2007",
+        "under the terms of the [GNU General Public License] as published by the Free Software "
+        "Foundation, either [version 3] of the License, or any later version",
     ),
     "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "under the terms of the GNU General Public License as published by the Free Software "
-        "Foundation; either version 2 of the License",
+        "This work is licensed under the [GNU General Public License, version 2].",
+        "[GNU General Public License Version 2], June 1991",
+        "under the terms of the [GNU General Public License] as published by the Free Software "
+        "Foundation; either [version 2] of the License",
+    ),
+    "LGPL": (
+        "This library is licensed under the [GNU Lesser General Public License].",
+        "under the terms of the [GNU Lesser General Public License] as published by the Free "
+        "Software Foundation, either [version 3] of the License, or any later version",
+        "under the terms of the [GNU Lesser General Public License] as published by the Free "
+        "Software Foundation; either [version 2.1] of the License, or any later version",
+        "[GNU Lesser General Public License Version 3], 29 June 2007",
+        "[GNU Lesser General Public License Version 2.1], February 1999",
+    ),
+    "AGPL-3.0": (
+        "Licensed under the [GNU Affero General Public License, version 3].",
+        "[GNU Affero General Public License Version 3], 19 November 2007",
+        "under the terms of the [GNU Affero General Public License] as published by the Free "
+        "Software Foundation, either [version 3] of the License, or any later version",
     ),
-    "LGPL": ("This library is licensed under the GNU Lesser General Public License.",),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
     "BSD": (
-        "Released under the BSD License.",
-        "Redistribution and use in source and binary forms, with or without modification, are "
+        "Released under the [BSD License].",
+        "[Redistribution and use in source and binary forms], with or without modification, are "
         "permitted provided that the following conditions are met",
     ),
-    "MPL-2.0": ("Subject to the terms of the Mozilla Public License, version 2.0.",),
-    "ISC": ("Licensed under the ISC License.",),
+    "MPL-2.0": (
+        "Subject to the terms of the [Mozilla Public License, version 2.0].",
+        "This Source Code Form is subject to the terms of the [Mozilla Public License, v. 2.0].",
+        "[Mozilla Public License Version 2.0]",
+    ),
+    "ISC": (
+        "Licensed under the [ISC License].",
+        "[Permission to use, copy, modify, and/or distribute this software for any purpose] with "
+        "or without fee is hereby granted",
+    ),
     "CC-BY-4.0": (
-        "Licensed under CC BY 4.0.",
-        "licensed under a Creative Commons Attribution 4.0 International License",
+        "Licensed under [CC BY 4.0].",
+        "licensed under a Creative Commons [Attribution 4.0 International] License",
     ),
     "CC-BY-SA-4.0": (
-        "Licensed under CC BY-SA 4.0.",
-        "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Licensed under [CC BY-SA 4.0].",
+        "licensed under a Creative Commons [Attribution-ShareAlike 4.0 International] License",
     ),
     "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "Licensed under [CC BY-NC 4.0].",
+        "licensed under a Creative Commons [Attribution-NonCommercial 4.0 International] License",
+    ),
+    "CC-BY-ND-4.0": (
+        "Licensed under [CC BY-ND 4.0].",
+        "licensed under a Creative Commons [Attribution-NoDerivatives 4.0 International] License",
+    ),
+    "CC-BY-NC-SA-4.0": (
+        "Licensed under [CC BY-NC-SA 4.0].",
+        "licensed under a Creative Commons [Attribution-NonCommercial-ShareAlike 4.0 "
+        "International] License",
+    ),
+    "CC-BY-NC-ND-4.0": (
+        "Licensed under [CC BY-NC-ND 4.0].",
+        "licensed under a Creative Commons [Attribution-NonCommercial-NoDerivatives 4.0 "
+        "International] License",
     ),
     "CC0-1.0": (
-        "Released under CC0 1.0.",
-        "dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication",
+        "Released under [CC0 1.0].",
+        "dedicated to the public domain under the [CC0 1.0 Universal] Public Domain Dedication",
     ),
     "proprietary": (
-        "All rights reserved.",
-        "No part of this work may be reproduced without written permission of the publisher.",
+        "[All rights reserved].",
+        "[No part of this work may be reproduced] without written permission of the publisher.",
     ),
 }
+NOTICES = {
+    family: tuple(notice.replace("[", "").replace("]", "") for notice in notices)
+    for family, notices in MARKED_NOTICES.items()
+}
 UNKNOWN = "unknown"
+MARKS = re.compile(r"\[(.*?)\]")
 # Buckets of words and of word pairs.
 BUCKETS = 1 << 13
 VARIANTS = 40
@@ -258,6 +304,11 @@ def _pairs(text: str) -> set[tuple[str, str]]:
 
 
 NOTICE_PAIRS = {family: [_pairs(n) for n in notices] for family, notices in NOTICES.items()}
+# The pairs of a notice that a window must hold, in the same order.
+NEEDED_PAIRS = {
+    family: [set().union(*(_pairs(part) for part in MARKS.findall(n))) for n in notices]
+    for family, notices in MARKED_NOTICES.items()
+}
 # Fewest word pairs of a notice that confirm a family.
 LEAST_PAIRS = {
     family: min(ceil(SIMILAR * len(pairs)) for pairs in notices)
@@ -285,11 +336,19 @@ def similarity(paragraph: str, family: str) -> float:
 def held(words: Sequence[str], family: str) -> tuple[float, int, int]:
     """Similarity of a window, and first word and end of the notice in it.
 
-    The notice is the shortest stretch, from the end, with all pairs that the window holds.
+    A notice whose needed pairs are not all there is not similar. The notice is the shortest
+    stretch, from the end, with all pairs that the window holds.
     """
     pairs = list(zip(words, words[1:], strict=False))
     own = set(pairs)
-    notice = max(NOTICE_PAIRS[family], key=lambda n: len(own & n) / len(n))
+    there = [
+        notice
+        for notice, needed in zip(NOTICE_PAIRS[family], NEEDED_PAIRS[family], strict=True)
+        if needed <= own
+    ]
+    if not there:
+        return 0.0, 0, 0
+    notice = max(there, key=lambda n: len(own & n) / len(n))
     common = own & notice
     last = {pair: i for i, pair in enumerate(pairs) if pair in common}
     begin = min(last.values(), default=0)
@@ -298,12 +357,16 @@ def held(words: Sequence[str], family: str) -> tuple[float, int, int]:
 
 
 def corpus_lines(docs: DataFrame, n: int = CORPUS_LINES) -> list[str]:
-    """At most ``n`` lines of sampled documents, the lowest by hash."""
+    """At most ``n`` lines of sampled documents, the lowest by hash.
+
+    Documents are drawn by their own hash, so the sample does not follow the files' splits.
+    """
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / total) if total else 1.0
+    drawn = F.pmod(F.xxhash64("text", "doc_id", F.lit(SEED)), F.lit(1 << 30))
     lines = (
-        docs.select("text")
-        .sample(share, seed=SEED)
+        docs.where(drawn < int(share * (1 << 30)))
+        .select("text")
         .select(F.explode(F.split("text", "\n")).alias("line"))
         .where((F.length(F.trim("line")) > 0) & (F.length("line") <= LINE_CHARS))
         .distinct()

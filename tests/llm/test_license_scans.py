@@ -139,3 +139,100 @@ def test_a_blank_line_parts_blocks():
     words = scans.spans.find_words(data, cuts)
     runs = scans.blocks(words, row)
     assert runs.first.tolist() == [0, 3, 6, 7, 9] and runs.count.tolist() == [3, 3, 1, 2, 1]
+
+
+# The usual headers and titles, and what each may be called: its own family, or none where
+# only a part of a notice is there. Never a sister.
+GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of "
+    "the GNU {}General Public License as published by the Free Software Foundation, either "
+    "version {} of the License, or (at your option) any later version."
+)
+CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+HEADERS = [
+    ("GPL-3.0", GNU.format("", "3")),
+    ("GPL-2.0", GNU.format("", "2").replace("Foundation, either", "Foundation; either")),
+    ("LGPL", GNU.format("Lesser ", "3")),
+    ("LGPL", GNU.format("Lesser ", "2.1").replace("Foundation, either", "Foundation; either")),
+    ("AGPL-3.0", GNU.format("Affero ", "3")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"),
+    ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License\nVersion 2.0, January 2004"),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file '
+        "except in compliance with the License. You may obtain a copy of the License at",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+        "copy of the MPL was not distributed with this file, You can obtain one",
+    ),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+        'software and associated documentation files (the "Software"), to deal in the Software',
+    ),
+    (
+        "BSD",
+        "Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met:",
+    ),
+    ("CC-BY-4.0", CC.format("Attribution")),
+    ("CC-BY-SA-4.0", CC.format("Attribution-ShareAlike")),
+    ("CC-BY-NC-4.0", CC.format("Attribution-NonCommercial")),
+    ("CC-BY-ND-4.0", CC.format("Attribution-NoDerivatives")),
+    ("CC-BY-NC-SA-4.0", CC.format("Attribution-NonCommercial-ShareAlike")),
+    ("CC-BY-NC-ND-4.0", CC.format("Attribution-NonCommercial-NoDerivatives")),
+    *[
+        (f"CC-{kind}-4.0", f"Licensed under CC {kind} 4.0.")
+        for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+    ],
+    ("CC0-1.0", "Released under CC0 1.0."),
+]
+NO_FAMILY = [
+    "This work is licensed under the GNU General Public License, version 1.",
+    "This work is licensed under the GNU Free Documentation License, version 3.",
+    "Licensed under the Apache License, Version 1.1.",
+    "Subject to the terms of the Mozilla Public License, version 1.1.",
+    "Licensed under CC BY 3.0.",
+    "licensed under a Creative Commons Attribution 2.0 Generic License",
+]
+
+
+def wrapped(text, width):
+    lines, line = [], ""
+    for word in text.split(" "):
+        if line and len(line) + len(word) >= width:
+            lines.append(line)
+            line = ""
+        line += (" " if line else "") + word
+    return "\n".join([*lines, line])
+
+
+@pytest.mark.parametrize("width", [10**6, 60, 30])
+def test_usual_headers_are_never_named_after_a_sister(model, width):
+    texts = [f"Some title\n\n{wrapped(text, width)}\n\nend" for _, text in HEADERS]
+    texts += [f"Some title\n\n{wrapped(text, width)}\n\nend" for text in NO_FAMILY]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    got = scans._scan_piece(model, batch)[3].to_pylist()
+    wanted = [family for family, _ in HEADERS] + [None] * len(NO_FAMILY)
+    wrong = [(w, g, t) for w, g, t in zip(wanted, got, texts, strict=True) if g not in (w, None)]
+    assert wrong == []
+    named = sum(g == w for w, g in zip(wanted, got, strict=True) if w)
+    assert named >= len(HEADERS) - 1
+
+
+def test_results_do_not_follow_the_splits(spark, small):
+    one = scans.scan(small[0].repartition(2)).collect()
+    other = scans.scan(small[0].repartition(9)).collect()
+    assert odd.ordered(map(tuple, one)) == odd.ordered(map(tuple, other))
