@@ -5,7 +5,10 @@ decreasing. Dual feasible functions give a lower bound on a partition's number o
 a partition that meets it is certified, since no packing of its pieces has fewer. The others
 give up the pieces of all sequences with room left, and certified ones those of their
 emptiest sequence; these pieces are spread anew, so that partitions exchange documents, and
-best-fit decreasing runs again. A round that saves no sequence is not taken.
+best-fit decreasing runs again. Rounds go on, whatever the number of partitions, until what
+is at stake is one certified partition or a round saves next to nothing (``LEAST_SAVING``); a
+round that saves no sequence is not taken. ``certified`` tells which sequences are of partitions that
+met their bound, and ``overview`` holds the sequences against a bound for all pieces.
 
 Only documents longer than a sequence are cut. Every document ends with ``END_ID``.
 
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,12 @@ LENGTH = 4096
 END_ID = 1
 # Pieces in a partition; one task packs a partition.
 ROWS_PER_PARTITION = 50_000
-ROUNDS = 4
-# Words whose ids a worker remembers.
-KNOWN_WORDS = 1 << 20
+# Numbers for the sequences of a partition, of which it has no more than pieces.
+IDS_PER_PARTITION = 1 << 24
+# Share of the sequences at stake that a round has to save for another one to follow.
+LEAST_SAVING = 1e-5
+# Words that a worker remembers, and their ids; 80 MB at most.
+KNOWN_WORDS, KNOWN_IDS = 1 << 20, 1 << 23
 # Largest parameter of the rounding dual feasible functions.
 MAX_K = 64
 
@@ -53,11 +59,11 @@ class KnownIds:
     """Token ids of the words met so far, in arrays: about 40 bytes a word.
 
     A word is known by its 64-bit hash together with its first eight bytes and its length.
-    Beyond ``limit`` words the memory begins anew.
+    Beyond ``limit`` words or ``ids_limit`` ids the memory begins anew.
     """
 
-    def __init__(self, bpe: WordBpe, limit: int = KNOWN_WORDS):
-        self._bpe, self._limit = bpe, limit
+    def __init__(self, bpe: WordBpe, limit: int = KNOWN_WORDS, ids_limit: int = KNOWN_IDS):
+        self._bpe, self._limit, self._ids_limit = bpe, limit, ids_limit
         self._clear()
 
     def _clear(self) -> None:
@@ -86,7 +92,7 @@ class KnownIds:
         n[new] = np.fromiter(map(len, made), np.int64, len(made)) // ID.itemsize
         start[new] = len(self._ids) + np.cumsum(n[new]) - n[new]
         ids = np.concatenate([self._ids, np.frombuffer(b"".join(made), ID)])
-        if len(self._hash) + len(new) > self._limit:
+        if len(self._hash) + len(new) > self._limit or len(ids) > self._ids_limit:
             self._clear()
         else:
             self._ids = ids
@@ -150,15 +156,20 @@ ARROW_PIECE = pa.schema(
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """Sequences that any packing needs, by two families of dual feasible functions.
+    """Sequences that any packing needs."""
+    if not len(lengths):
+        return 0
+    return bound_of_counts(np.bincount(lengths, minlength=size + 1), size)
+
+
+def bound_of_counts(count: np.ndarray, size: int) -> int:
+    """The same from the number of pieces by length, by two families of dual feasible functions.
 
     One rounds up what is longer than ``size - t`` and drops what is shorter than ``t``, for
     every t up to half a sequence; the other rounds ``(k + 1) x / size`` down for k up to
-    ``MAX_K``. The lengths enter by their counts.
+    ``MAX_K``.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=size + 1).astype(np.int64)
+    count = count.astype(np.int64)
     value = np.arange(size + 1, dtype=np.int64)
     counts, sums = np.cumsum(count), np.cumsum(count * value)
     t = np.arange(size // 2 + 1)
@@ -201,14 +212,14 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, offset, np.array(room, np.int64)
 
 
-def _packer(size: int, round_: int) -> Callable[[pa.Table], pa.Table]:
+def _packer(size: int, first_id: int) -> Callable[[pa.Table], pa.Table]:
     def packed(table: pa.Table) -> pa.Table:
-        return _pack_partition(table, size, round_)
+        return _pack_partition(table, size, first_id)
 
     return packed
 
 
-def _pack_partition(table: pa.Table, size: int, round_: int) -> pa.Table:
+def _pack_partition(table: pa.Table, size: int, first_id: int) -> pa.Table:
     """Pack one partition; ``open`` marks the pieces that it gives up."""
     part = table.column("_part")[0].as_py()
     table = table.drop_columns(["_part"]).sort_by(
@@ -216,23 +227,29 @@ def _pack_partition(table: pa.Table, size: int, round_: int) -> pa.Table:
     )
     lengths = table.column("length").to_numpy()
     bins, offset, room = best_fit(lengths, size)
-    if len(room) > lower_bound(lengths, size):
+    certified = len(room) <= lower_bound(lengths, size)
+    if not certified:
         opened = room > 0
     else:
         opened = np.zeros(len(room), bool)
         opened[room.argmax()] = room.max() > 0
     for name, values in (
-        ("sequence_id", (round_ << 56) + (part << 32) + bins),
+        ("sequence_id", first_id + part * IDS_PER_PARTITION + bins),
         ("offset", offset),
+        ("certified", np.full(len(bins), certified)),
         ("open", opened[bins]),
     ):
         table = table.append_column(name, pa.array(values))
     return table
 
 
+def _partitions(n: int, per_partition: int) -> int:
+    return max(1, -(-n // per_partition))
+
+
 def _spread(rows: DataFrame, n: int, per_partition: int) -> DataFrame:
     """Random partitions, also for rows that are all alike; one row more or less is no matter."""
-    parts = max(1, -(-n // per_partition))
+    parts = _partitions(n, per_partition)
     random = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())
     return rows.withColumn("_part", F.pmod(random, F.lit(parts)))
 
@@ -244,30 +261,53 @@ def pack_pieces(
 
     Every round is written out: its rows are read twice, by what stays and by what goes on.
     """
-    packed = schema(**PIECE, sequence_id="long", offset="long", open="boolean")
-    rows, settled, before = materialize(cut, "pieces"), [], None
-    for round_ in range(ROUNDS):
+    packed = schema(
+        **PIECE, sequence_id="long", offset="long", certified="boolean", open="boolean"
+    )
+    rows, settled, before, first_id = materialize(cut, "pieces"), [], None, 0
+    while True:
         n = rows.count()
         made = materialize(
             _spread(rows.select(*PIECE), n, per_partition)
             .groupBy("_part")
-            .applyInArrow(_packer(size, round_), packed),
+            .applyInArrow(_packer(size, first_id), packed),
             "packed",
         )
-        sequences = made.select("sequence_id").distinct().count()
-        if before is not None and sequences >= before:
+        at_stake = made.agg(
+            F.count_distinct("sequence_id").alias("sequences"),
+            F.coalesce(F.bool_and("certified"), F.lit(True)).alias("certified"),
+        ).first()
+        if before is not None and at_stake["sequences"] >= before:
+            # Nothing saved: what the round before gave up stays where it was.
+            settled.append(rows)
+            break
+        little = before is not None and before - at_stake["sequences"] < LEAST_SAVING * before
+        if little or (at_stake["certified"] and n <= per_partition):
+            # All pieces at stake are in one partition that met its bound, or near to it.
+            settled.append(made)
             break
         settled.append(made.where(~F.col("open")))
         rows = made.where("open")
         before = rows.select("sequence_id").distinct().count()
-        if n <= per_partition or not before:
-            break
-    if before:
-        settled.append(rows)
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
-    return out.select(*PIECE, "sequence_id", "offset")
+        first_id += _partitions(n, per_partition) * IDS_PER_PARTITION
+    out = reduce(DataFrame.unionByName, settled)
+    return out.select(*PIECE, "sequence_id", "offset", "certified")
+
+
+def overview(packed: DataFrame, size: int = LENGTH) -> DataFrame:
+    """One row: the sequences, those of certified partitions, and a bound for all pieces."""
+    # One row per length.
+    lengths = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    count = np.zeros(size + 1, np.int64)
+    for row in lengths:
+        count[row["length"]] = row["n"]
+    bound = bound_of_counts(count, size) if lengths else 0
+    own = F.when(F.col("certified"), F.col("sequence_id"))
+    return packed.agg(
+        F.count_distinct("sequence_id").alias("sequences"),
+        F.count_distinct(own).alias("certified"),
+        F.lit(bound).cast("long").alias("bound"),
+    )
 
 
 def pack(docs: DataFrame, size: int = LENGTH, path: str | None = None) -> DataFrame:
