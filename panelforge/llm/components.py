@@ -14,7 +14,9 @@ def _minima(pairs: DataFrame) -> DataFrame:
 
 
 def _state(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+    """Rows and the sum of their whole hashes, by which two rounds are compared."""
+    hashes = F.xxhash64("a", "b").cast("decimal(38,0)")
+    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(hashes)).first())
 
 
 def components(pairs: DataFrame) -> DataFrame:
