@@ -33,8 +33,9 @@ from panelforge.llm.tables import id_and_text, schema, vocabulary
 
 # Parts of a word up to which scanning for the lowest rank is used.
 SHORT = 64
-# Pieces of text that a worker keeps in each of its two generations, at about 200 bytes each.
-KEPT = 1 << 18
+# Bytes that a worker keeps of pieces of text in each of two generations, what a piece takes
+# beside its own bytes and its ids, and the longest key that is kept.
+KEPT_BYTES, PIECE_BYTES, LONGEST_KEPT = 48 << 20, 250, 64
 WORD_END = "</w>"
 NO_RANK = 1 << 30
 # How ids are packed: little-endian unsigned 32-bit numbers.
@@ -54,27 +55,32 @@ def byte_letters() -> list[str]:
 class Known(dict):
     """Values by key in two generations; the older goes when the newer is full.
 
-    ``make`` gives the values of a list of keys.
+    ``make`` gives the values of a list of keys, each bytes or a tuple of bytes. A generation
+    is full beyond ``limit`` bytes; long keys, which seldom come again, are not kept.
     """
 
     def __init__(self, make: Callable[[list], Iterable], limit: int):
         super().__init__()
-        self._make, self._limit, self._older = make, limit, {}
+        self._make, self._limit, self._older, self.bytes = make, limit, {}, 0
 
     def values_of(self, keys: list) -> list:
         """The values of ``keys``, in order; what is not known is made in one go."""
-        if len(self) > self._limit:
-            self._older = dict(self)
+        if self.bytes > self._limit:
+            self._older, self.bytes = dict(self), 0
             self.clear()
         values = list(map(self.get, keys))
         gaps = [i for i, value in enumerate(values) if value is None]
         new = {keys[i] for i in gaps}
-        older = {key: self._older[key] for key in new if key in self._older}
-        self.update(older)
-        rest = list(new.difference(older))
-        self.update(zip(rest, self._make(rest), strict=True))
+        found = {key: self._older[key] for key in new if key in self._older}
+        rest = list(new.difference(found))
+        found.update(zip(rest, self._make(rest), strict=True))
         for i in gaps:
-            values[i] = self[keys[i]]
+            values[i] = found[keys[i]]
+        for key, value in found.items():
+            if len(key) <= LONGEST_KEPT:
+                self[key] = value
+                own = len(value) if isinstance(value, bytes) else sum(map(len, value))
+                self.bytes += own + len(key) + PIECE_BYTES
         return values
 
 
@@ -109,7 +115,7 @@ class WordBpe:
         self._words = regex.compile(split)
         self._words_and_ends = regex.compile(split + r"|\n")
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self._known = Known(self._encode_words, KEPT // 4)
+        self._known = Known(self._encode_words, KEPT_BYTES // 4)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of parts; ``NO_RANK`` where they do not merge."""
@@ -255,7 +261,7 @@ def known_digits(path: str) -> Known:
             ids = unpacked(packed)
             yield b" ".join([digits[i] for i in ids]), b" ".join([tokens[i] for i in ids])
 
-    return Known(make, KEPT)
+    return Known(make, KEPT_BYTES)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+import sys
 import hashlib
 
 import odd
@@ -72,8 +74,27 @@ def test_cache_in_two_generations():
         made.extend(keys)
         return [2 * k for k in keys]
 
-    known = word_bpe.Known(make, 3)
-    for keys in ([1, 2, 3, 4], [1, 5], [1, 6, 7, 8], [9, 5]):
+    known = word_bpe.Known(make, 3 * (word_bpe.PIECE_BYTES + 3))
+    for keys in ([b"1", b"2", b"3", b"4"], [b"1", b"5"], [b"1", b"6", b"7", b"8"], [b"9", b"5"]):
         assert known.values_of(keys) == [2 * k for k in keys]
-    assert made.count(1) == 1
+    assert made.count(b"1") == 1
     assert len(known) <= 6
+
+
+def test_cache_is_bounded_by_bytes():
+    """Many long pieces without white space, as in Chinese or Japanese lines and base64."""
+    known = word_bpe.known_digits.__wrapped__(vocabulary())
+    draw = random.Random(6)
+    most = 0
+    for _ in range(40):
+        pieces = ["".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(n)).encode()
+                  for n in (5, 12, 20, 60, 3000) for _ in range(60)]
+        assert len(known.values_of(pieces)) == len(pieces)
+        assert all(len(key) <= word_bpe.LONGEST_KEPT for key in known)
+        held = sum(sys.getsizeof(k) + sum(map(sys.getsizeof, v)) for k, v in known.items())
+        most = max(most, held)
+        assert held <= 1.2 * known.bytes
+    small = word_bpe.Known(known._make, most // 8)
+    for _ in range(20):
+        small.values_of([f"{draw.random()}".encode() for _ in range(500)])
+        assert small.bytes <= most // 8 + 500 * 800
