@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.ordering import running_total
 from panelforge.session import materialize
 
 RUN = 256
@@ -34,9 +35,10 @@ RUN_BITS = 40
 
 
 def _sorted_turns(conversations: DataFrame) -> DataFrame:
-    """Distinct turns with ``pos`` from 0.
+    """Distinct turns with ``pos`` from 0: a running total over ranges of all sorted turns.
 
-    The position in a stretch of ``RUN`` turn numbers, plus the rows of earlier stretches.
+    A range is cut anywhere, also between turns with equal numbers, so no task holds all turns
+    of a conversation.
     """
     rows = (
         conversations.select(
@@ -47,24 +49,13 @@ def _sorted_turns(conversations: DataFrame) -> DataFrame:
         )
         .where(F.col("conv_id").isNotNull())
         .distinct()
-        .withColumn("stretch", F.floor(F.col("turn") / RUN))
     )
-    inside = Window.partitionBy("conv_id", "stretch").orderBy("turn", "role", "text")
-    rows = materialize(rows.withColumn("place", F.row_number().over(inside) - 1), "turns")
-    earlier = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        rows.groupBy("conv_id", "stretch")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select(
-            "conv_id",
-            F.col("stretch").alias("own"),
-            F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"),
-        )
-    )
-    before = materialize(before.withColumnRenamed("conv_id", "own_id"), "stretches")
-    same = (F.col("conv_id") == F.col("own_id")) & F.col("stretch").eqNullSafe(F.col("own"))
-    return rows.join(before, same).select(
-        "conv_id", "role", "text", (F.col("before") + F.col("place")).alias("pos")
+    order = ["conv_id", "turn", "role", "text"]
+    placed = running_total(materialize(rows, "turns"), order, F.lit(1), "before")
+    placed = materialize(placed, "placed")
+    first = placed.groupBy("conv_id").agg(F.min("before").alias("first"))
+    return placed.join(first, "conv_id").select(
+        "conv_id", "role", "text", (F.col("before") - F.col("first")).alias("pos")
     )
 
 

@@ -64,6 +64,17 @@ def test_one_conversation_with_most_turns(spark):
     assert max(len(r[3].split(chat.OPEN)) - 1 for r in got) == chat.RUN
 
 
+def test_many_turns_with_one_number(spark):
+    """Equal and missing numbers: a conversation's turns are still cut into ranges."""
+    many = [(1, None if k % 2 else 7, "user", f"t{k:05}") for k in range(4000)]
+    many += [(2, 7, "user", "t00000"), (1, 7, "bot", "t00001")]
+    table = frame(spark, many).repartition(3)
+    got = odd.ordered(tuple(r) for r in chat.format_chats(table).collect())
+    assert got == brute_force(many)
+    plan = chat._sorted_turns(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_empty_table(spark):
     assert chat.format_chats(frame(spark, [])).collect() == []
 
