@@ -2,6 +2,11 @@
 
 Each stage works on all documents that the one before it kept. ``run`` writes every stage's
 result to the shared folder and reads it back for the next.
+
+Documents with null ids or texts go through as the operators define: the quality rules reject
+texts of few words, null ones among them; rows without an id lose no lines and are linked with
+nothing. Repeated rows are kept or dropped alike by the rules; lines and links count them as
+one document. Other columns go along whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +18,9 @@ from panelforge.llm import best_fit_packing, line_dedup, ngram_jaccard_join, qua
 from panelforge.llm.tables import read
 from panelforge.session import materialize
 
+# A character of a word.
+WORD = r"[^\x20\x09-\x0D]"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
@@ -20,8 +28,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go; ``n_chars`` follows the text."""
-    return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Lines that an earlier document has go; ``n_chars`` follows the text.
+
+    So does a document that loses its last word: all it said stands in earlier documents, and
+    the join, which links nothing with an empty text, would keep it for ever.
+    """
+    had = "_had_words"
+    while had in docs.columns:
+        had += "_"
+    has_words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
+    left = line_dedup.dedup(docs.withColumn(had, has_words))
+    left = left.where(has_words | ~F.col(had)).drop(had)
+    return left.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
