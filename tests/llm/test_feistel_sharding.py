@@ -61,3 +61,8 @@ def test_many_equal_rows(spark):
 
 def test_empty_table(no_docs):
     assert sharding.shard(no_docs).collect() == []
+
+
+def test_no_python_in_the_plan(docs):
+    text = sharding.shard(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "Arrow" not in text and "Pandas" not in text

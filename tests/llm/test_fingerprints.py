@@ -80,3 +80,53 @@ def test_single_row_and_empty_table(spark, no_docs):
     (row,) = prints.fingerprint(one).collect()
     assert row["near_next"] == 1.0
     assert prints.fingerprint(no_docs).collect() == []
+
+
+def plain_signature(text, samples):
+    """Consistent weighted sampling with one term and one sample at a time."""
+    white = " \t\n\x0b\x0c\r"
+    lowered = "".join(c.lower() if c.isascii() else c for c in text or "")
+    for c in white:
+        lowered = lowered.replace(c, " ")
+    weights = Counter(w for w in lowered.split(" ") if w)
+    if not weights:
+        return [0] * samples
+    mixed, one = prints.spans.mixed, np.uint64(1)
+
+    def uniform(bits):
+        return (np.float32(int(bits)) + np.float32(0.5)) * np.float32(2.0**-32)
+
+    out = []
+    for k in range(samples):
+        best = None
+        for word, weight in weights.items():
+            data = np.frombuffer(word.encode() + bytes(8), np.uint8)
+            ends = np.array([0]), np.array([len(word.encode())])
+            term = prints.spans.hash_spans(data, *ends)
+            first = mixed(term ^ mixed(np.array([k + 1], np.uint64)))
+            draws = [first, mixed(first + one), mixed(first + np.uint64(2))]
+            halves = [(int(d[0]) & 0xFFFFFFFF, int(d[0]) >> 32) for d in draws]
+            r = -np.log(uniform(halves[0][0]) * uniform(halves[0][1]))
+            c = -np.log(uniform(halves[1][0]) * uniform(halves[1][1]))
+            beta = uniform(halves[2][0])
+            t = np.floor(np.log(np.float32(weight)) / r + beta)
+            a = np.log(c) - r * (t - beta) - r
+            name = mixed(term + mixed(np.array([int(t)], np.int64).view(np.uint64)))
+            drawn = (float(a), int(name[0]) & 0xFFFFFFFF)
+            best = drawn if best is None else min(best, drawn)
+        out.append(best[1] & 0xFFFF)
+    return out
+
+
+def test_signatures_equal_plain_sampling():
+    """Ties and rounding apart, which could move a sample, all samples are the plain ones."""
+    texts = [t for _, t in odd.texts() if t is None or len(t) < 1200][:24]
+    texts += ["a a a b b c", "A\ta\nB", "é É é", "x " * 300]
+    marks, _ = prints.signatures(pa.array(texts, pa.large_string()), 16)
+    same = [m.tolist() == plain_signature(t, 16) for m, t in zip(marks, texts, strict=True)]
+    equal = sum(
+        a == b
+        for m, t in zip(marks, texts, strict=True)
+        for a, b in zip(m.tolist(), plain_signature(t, 16), strict=True)
+    )
+    assert equal >= len(texts) * 16 - 1 and sum(same) >= len(texts) - 1
