@@ -35,7 +35,7 @@ from panelforge.llm.tables import id_and_text, schema, vocabulary
 SHORT = 64
 # Bytes that a worker keeps of pieces of text in each of two generations, what a piece takes
 # beside its own bytes and its ids, and the longest key that is kept.
-KEPT_BYTES, PIECE_BYTES, LONGEST_KEPT = 48 << 20, 250, 64
+KEPT_BYTES, PIECE_BYTES, LONGEST_KEPT = 96 << 20, 250, 64
 WORD_END = "</w>"
 NO_RANK = 1 << 30
 # How ids are packed: little-endian unsigned 32-bit numbers.
