@@ -1,8 +1,9 @@
 """Lines that occur in several documents stay only in the document with the smallest id.
 
 Two Bloom filters, for line hashes seen once and seen twice, find the lines that may repeat;
-only these are shuffled, for the exact confirmation and the choice of the document that
-keeps them. A filter is cut into segments by hash, each built by one task from the hashes
+of the lines only these are shuffled, for the exact confirmation and the choice of the
+document that keeps them. The texts are shuffled once, by id, to meet the keys that they
+lose. A filter is cut into segments by hash, each built by one task from the hashes
 that fall into it, so building is spread and a frequent line reaches its segment at most
 twice per batch.
 

@@ -22,7 +22,9 @@ sets that are similar enough share at least ``m`` tokens among their first
    meet all others.
 
 Tokens and sets are told apart by 64-bit hashes (sets in the first place by 128 bits), the
-filter by fewer, where a collision can only keep a set too many.
+filter by fewer: tokens by 48 bits, where a collision can only keep a set too many, and the
+sets that share one by 40, where two that collide count as one and may miss the filter
+together (about 1e-12 of the pairs of linked sets).
 
 Defined results: a text without words has an empty set and no links; equal sets are linked
 and compared once; rows with the same id are one document; a row without an id has the
@@ -51,7 +53,8 @@ LEAST = 80
 FILTER_STEP = 10
 TOKEN_BYTES, NODE_BYTES = 6, 5
 TOKENS_PER_PART = 1 << 20
-# Up to this many document ids are broadcast (8 bytes each); more are joined by a shuffle.
+# Up to this many document ids are broadcast (two numbers and a key of 16 bytes each); more are
+# joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 # Cost of verifying a candidate, in entries of token lists.
 VERIFY_COST = 16
