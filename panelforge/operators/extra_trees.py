@@ -10,7 +10,8 @@ the features, one for the sums left of the thresholds; per partition and node on
 shuffled. What is below a smaller node fits into memory and grows in one task. Thresholds come
 from a hash of seed, tree, node and feature, and targets are summed as whole numbers, so the
 trees depend neither on how rows are split over tasks nor on ``local_rows``. The driver holds
-the trees, at most ``trees * 2 ** (depth + 1)`` nodes, and never rows.
+the trees, at most ``trees * 2 ** (depth + 1)`` nodes, and never rows. Tasks get the nodes found
+so far, 9 bytes each, and thresholds only of the nodes that a pass is about.
 
 Defined results: rows with a null feature or target are left out of fitting; a row with a null
 feature gets a null prediction; without rows to fit all predictions are null.
@@ -57,6 +58,34 @@ class Rows:
         return Rows(*[getattr(self, name)[at] for name in self.__dataclass_fields__])
 
 
+@dataclass
+class Routes:
+    """The known nodes of every tree in heap order, without gaps and from the root on: the
+    children of the k-th node that is split, from 0, are the nodes 2k + 1 and 2k + 2.
+
+    ``number`` is the threshold of a node that is split, and what ends there of another.
+    """
+
+    split: list[np.ndarray]
+    number: list[np.ndarray]
+
+    @property
+    def trees(self) -> int:
+        return len(self.split)
+
+    def ends(self, tree: int, x: np.ndarray) -> np.ndarray:
+        """The number of the deepest known node of every row."""
+        split, number = self.split[tree], self.number[tree]
+        left = 2 * np.cumsum(split != LEAF) - 1
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        while True:
+            rows = rows[split[node[rows]] != LEAF]
+            if not len(rows):
+                return number[node]
+            at = node[rows]
+            node[rows] = left[at] + (x[rows, split[at]] > number[at])
+
+
 @dataclass
 class Forest:
     """Nodes by tree in heap order: the children of node k are 2k and 2k + 1, the root is 1."""
@@ -81,34 +110,28 @@ class Forest:
     def trees(self) -> int:
         return len(self.split)
 
-    def node_of(self, tree: int, x: np.ndarray) -> np.ndarray:
-        """The deepest known node of every row."""
-        node, rows = np.ones(len(x), np.int64), np.arange(len(x))
-        for _ in range(self.depth):
-            split = self.split[tree, node[rows]]
-            rows = rows[split != LEAF]
-            if not len(rows):
-                break
-            split, at = split[split != LEAF], node[rows]
-            node[rows] = 2 * at + (x[rows, split] > self.threshold[tree, at])
-        return node
-
     def set_nodes(self, tree, node, split, threshold, value) -> None:
         self.split[tree, node] = split
         self.threshold[tree, node] = threshold
         self.value[tree, node] = value
 
-    def values(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for tree in range(self.trees):
-            total += self.value[tree, self.node_of(tree, x)]
-        return total / self.trees
+    def routes(self, ends: np.ndarray) -> Routes:
+        """What tasks need to route rows; ``ends`` is what they want to know, by tree and node."""
+        routes = Routes([], [])
+        for split, threshold, end in zip(self.split, self.threshold, ends, strict=True):
+            inner = np.flatnonzero(split != LEAF)
+            node = np.append(1, (2 * inner[:, None] + [0, 1]).ravel())
+            routes.split.append(split[node])
+            routes.number.append(np.where(split[node] != LEAF, threshold[node], end[node]))
+        return routes
 
     def predict(self, df: DataFrame, out: str) -> DataFrame:
         """``df`` with the prediction of every row."""
         if not self.trained:
             return df.withColumn(out, F.lit(None).cast("double"))
-        predict = F.pandas_udf(lambda *columns: _predicted(self, columns), DoubleType())
+        # Read from a file by each worker; as a part of the function it would lie there twice.
+        routes = df.sparkSession.sparkContext.broadcast(self.routes(self.value))
+        predict = F.pandas_udf(lambda *columns: _predicted(routes.value, columns), DoubleType())
         complete = F.lit(True)
         for name in self.features:
             complete = complete & F.col(name).isNotNull()
@@ -116,10 +139,14 @@ class Forest:
         return df.withColumn(out, F.when(complete, predict(*inputs)))
 
 
-def _predicted(forest: Forest, columns):
+def _predicted(routes: Routes, columns):
     import pandas as pd
 
-    return pd.Series(forest.values(np.column_stack([c.to_numpy(float) for c in columns])))
+    x = np.column_stack([c.to_numpy(float) for c in columns])
+    total = np.zeros(len(x))
+    for tree in range(routes.trees):
+        total += routes.ends(tree, x)
+    return pd.Series(total / routes.trees)
 
 
 def _uniform(seed: int, tree: np.ndarray, node: np.ndarray, features: int) -> np.ndarray:
@@ -248,12 +275,20 @@ def _pieces(batches: Batches, features: int) -> Iterator[Rows]:
             yield _rows_of(batch.slice(at, PIECE_ROWS), features)
 
 
-def _partials(rows: DataFrame, forest: Forest, wanted: np.ndarray, cut: np.ndarray | None):
-    """Sums per tree and wanted node: of all rows, or left of the thresholds ``cut``.
+def _numbered(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tree and node of the marked nodes, and their numbers by tree and node; others have -1."""
+    tree, node = np.nonzero(marked)
+    number = np.full(marked.shape, -1, np.int32)
+    number[tree, node] = np.arange(len(tree))
+    return tree, node, number
+
+
+def _partials(rows: DataFrame, routes: Routes, n: int, cut: np.ndarray | None):
+    """Sums per wanted node: of all rows, or left of the thresholds ``cut``.
 
-    ``wanted`` marks nodes by tree. Every piece of a partition gives one row per node.
+    The ways of ``routes`` end with the number of a wanted node or a negative one; ``n`` features.
+    Every piece of a partition gives one row per node.
     """
-    n = len(forest.features)
     if cut is None:
         numbers = ["high", "low", "weight"]
         ranges = [f"{side}{i}" for side in ("least", "most") for i in range(n)]
@@ -261,45 +296,44 @@ def _partials(rows: DataFrame, forest: Forest, wanted: np.ndarray, cut: np.ndarr
     else:
         numbers = [f"{name}{i}" for name in ("high", "low", "weight", "rows") for i in range(n)]
         ranges = []
-    names = ["tree", "node", *numbers, *ranges]
+    names = ["wanted", *numbers, *ranges]
 
     def sums(batches: Batches) -> Batches:
         for piece in _pieces(batches, n):
-            for tree in range(forest.trees):
-                node = forest.node_of(tree, piece.x)
-                own = np.flatnonzero(wanted[tree, node])
+            for tree in range(routes.trees):
+                wanted = routes.ends(tree, piece.x).astype(np.int64)
+                own = np.flatnonzero(wanted >= 0)
                 if not len(own):
                     continue
-                rows, node, starts = _sorted(piece.take(own), node[own])
-                ids = node[starts]
+                rows, wanted, starts = _sorted(piece.take(own), wanted[own])
+                ids = wanted[starts]
                 if cut is None:
                     least, most, high, low, weight, *targets = _sums(rows, starts)
                     columns = [high, low, weight, *least.T, *most.T, *targets]
                 else:
-                    found = _left_sums(rows, starts, cut[tree, ids])
+                    found = _left_sums(rows, starts, cut[ids])
                     columns = [column for part in found for column in part.T]
-                arrays = [np.full(len(ids), tree), ids, *columns]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(a)) for a in arrays], names
+                    [pa.array(np.ascontiguousarray(a)) for a in (ids, *columns)], names
                 )
 
     kinds = {name: "double" if name.startswith(("least", "most")) else "long" for name in names}
     schema = ", ".join(f"{name} {kind}" for name, kind in kinds.items())
     fold = [F.sum(c).alias(c) for c in numbers]
     fold += [(F.min if "least" in c else F.max)(c).alias(c) for c in ranges]
-    made = rows.mapInArrow(sums, schema).groupBy("tree", "node").agg(*fold)
-    found = made.toArrow().sort_by([("tree", "ascending"), ("node", "ascending")])
+    made = rows.mapInArrow(sums, schema).groupBy("wanted").agg(*fold)
+    found = made.toArrow().sort_by("wanted")
 
     def matrix(*prefixes: str) -> list[np.ndarray]:
         return [
             np.column_stack([found.column(f"{p}{i}").to_numpy() for i in range(n)]) for p in prefixes
         ]
 
-    keys = [found.column(c).to_numpy() for c in ("tree", "node")]
+    ids = found.column("wanted").to_numpy()
     if cut is not None:
-        return *keys, *matrix("high", "low", "weight", "rows")
+        return ids, *matrix("high", "low", "weight", "rows")
     rest = [found.column(c).to_numpy() for c in (*numbers, "target_least", "target_most")]
-    return *keys, *matrix("least", "most"), *rest
+    return ids, *matrix("least", "most"), *rest
 
 
 def _grow_large(rows: DataFrame, forest: Forest, n_rows: int, local_rows: int) -> np.ndarray:
@@ -312,15 +346,18 @@ def _grow_large(rows: DataFrame, forest: Forest, n_rows: int, local_rows: int) -
     size = np.zeros(shape, np.int64)
     size[:, 1] = n_rows
     while large.any():
-        tree, node, least, most, high, low, weight, target_least, target_most = _partials(
-            rows, forest, large, None
+        tree, node, number = _numbered(large)
+        routes, n = forest.routes(number), len(forest.features)
+        cut = np.zeros((len(node), n))
+        ids, least, most, high, low, weight, target_least, target_most = _partials(
+            rows, routes, n, None
         )
-        cut = np.zeros((*shape, least.shape[1]))
-        cut[tree, node] = drawn = _thresholds(forest.seed, tree, node, least, most)
+        tree, node = tree[ids], node[ids]
+        cut[ids] = drawn = _thresholds(forest.seed, tree, node, least, most)
         usable = _open(forest.depth, node, least, most, target_least, target_most)
-        left = _partials(rows, forest, large, cut)[2:]
+        left = _partials(rows, routes, n, cut)[1:]
         total = _total(high, low)
-        orders = _orders(forest.seed, tree, node, drawn.shape[1])
+        orders = _orders(forest.seed, tree, node, n)
         split = _best(orders, usable, left[2], _total(left[0], left[1]), weight, total)
         chosen = drawn[np.arange(len(node)), split]
         forest.set_nodes(tree, node, split, chosen, total / weight / 10**DIGITS)
@@ -338,16 +375,18 @@ def _grow_small(rows: DataFrame, forest: Forest, small: np.ndarray) -> None:
     """Grow what is below the marked nodes, one task each, into the forest."""
     n, depth, seed = len(forest.features), forest.depth, forest.seed
     columns = [*[f"x{i}" for i in range(n)], "high", "low", "weight", "least", "most"]
+    trees, roots, number = _numbered(small)
+    routes = forest.routes(number)
 
     def deal(batches: Batches) -> Batches:
         for batch in batches:
             x = _rows_of(batch, n).x
-            for tree in range(forest.trees):
-                node = forest.node_of(tree, x)
-                own = np.flatnonzero(small[tree, node])
+            for tree in range(routes.trees):
+                at = routes.ends(tree, x).astype(np.int64)
+                own = np.flatnonzero(at >= 0)
                 kept = batch.select(columns).take(pa.array(own))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), tree)), pa.array(node[own]), *kept.columns],
+                    [pa.array(trees[at[own]]), pa.array(roots[at[own]]), *kept.columns],
                     ["tree", "root", *columns],
                 )
 
