@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark import SparkContext, cloudpickle
+from pyspark.sql import functions as F
+
 from panelforge.operators.panel import build_panel, load_targets
 
 SALES = (
@@ -34,3 +37,22 @@ def small_panel(spark, rows, pairs, n_blocks, **kwargs):
 def by_key(df, *keys):
     """Rows as dicts by key."""
     return {tuple(row[k] for k in keys): row.asDict() for row in df.collect()}
+
+
+def sent_to_tasks(df, monkeypatch):
+    """Name and size of every function and broadcast that is made from now on."""
+    sent = []
+
+    def spied(owner, name, at):
+        original = getattr(owner, name)
+
+        def call(*args, **kwargs):
+            sent.append((name, len(cloudpickle.dumps(args[at]))))
+            return original(*args, **kwargs)
+
+        monkeypatch.setattr(owner, name, call)
+
+    spied(type(df), "mapInArrow", 1)
+    spied(SparkContext, "broadcast", 1)
+    spied(F, "pandas_udf", 0)
+    return sent
